@@ -22,7 +22,8 @@ def distinct_records(df: DataFrame, keep: dict[str, Column], ids: Sequence[str],
     ``keep`` must follow from these."""
     a, b = fingerprint([col(c) for c in ids], [col(c) for c in texts], [col(c) for c in others])
     rows = df.select(*[v.alias(k) for k, v in keep.items()], a.alias("__fp_a"), b.alias("__fp_b"))
-    return rows.dropDuplicates(["__fp_a", "__fp_b"]).drop("__fp_a", "__fp_b")
+    # grouping by all columns keeps to hash aggregation; dropDuplicates on the two would sort, for the strings among the rest
+    return rows.distinct().drop("__fp_a", "__fp_b")
 
 
 def long_features(records: DataFrame, entity: str, event_type: str, time_us: str, measure: str) -> DataFrame:
