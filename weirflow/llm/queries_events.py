@@ -10,13 +10,13 @@ from weirflow.operators.feature_table import distinct_records
 from weirflow.queries.dealt import GO_DURATION_SQL, RECORD, RECORDS_SQL
 from weirflow.session import table
 
-from .distinct import P, estimated, merge_registers, registers, rollup, sketches, std_error, unpacked
+from .distinct import P, estimated, merge_sketches, rollup, sketch, std_error
 from .percentiles import merge, multi_select, states
 
 #: Median and high percentiles, in per mille.
 PERMILLE = (500, 900, 950, 990)
-#: Leading bits of a duration that are kept: an error of at most 2^-10 (0.1 %).
-BITS = 10
+#: Leading bits of a duration that are kept: an error of at most 2^-9 (0.2 %).
+BITS = 9
 
 
 
@@ -33,16 +33,15 @@ def _levels(day_states: DataFrame) -> DataFrame:
     """States of each action, each kind and each pair, combined over the days; rows without the key in question are left out."""
     pair = merge(day_states, ["action", "kind"])
     null = F.lit(None).cast("string")
-    parts = [
-        pair.where("action is not null and kind is not null").select(F.lit("action+kind").alias("level"), "action", "kind", "bin", "n"),
-        merge(pair.where("action is not null"), ["action"]).select(F.lit("action").alias("level"), "action", null.alias("kind"), "bin", "n"),
-        merge(pair.where("kind is not null"), ["kind"]).select(F.lit("kind").alias("level"), null.alias("action"), "kind", "bin", "n"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    level = lambda name, a, k: F.struct(F.lit(name).alias("level"), a.alias("action"), k.alias("kind"))
+    a, k = F.col("action"), F.col("kind")
+    levels = F.explode(F.array(level("action+kind", a, k), level("action", a, null), level("kind", null, k)))
+    wanted = F.expr("case l.level when 'action' then l.action is not null when 'kind' then l.kind is not null else l.action is not null and l.kind is not null end")
+    return merge(pair.select(levels.alias("l"), "bin", "n").where(wanted).select("l.*", "bin", "n"), ["level", "action", "kind"])
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the duration of each action, kind and pair, over all days; within 2^-10 of the exact value."""
+    """Percentiles of the duration of each action, kind and pair, over all days; within 2^-9 of the exact value."""
     picked = multi_select(_levels(duration_states(spark, sf_dir)), ["level", "action", "kind"], PERMILLE)
     return picked.groupBy("level", "action", "kind").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("permille") == q, F.col("value"))).alias(f"p{q}_ns") for q in PERMILLE])
 
@@ -64,17 +63,14 @@ def p6_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct users and requests of each day, tenant, action and combination of these, with the mergeable sketch. Repeated
     deliveries do not matter to a distinct count."""
     dims = ["day", "tenant_id", "action"]
-    regs = registers(_id_rows(spark, sf_dir), [*dims, "field"], "id")
-    out = estimated(sketches(rollup(regs, dims, ["field"]), ["level", *dims, "field"]))
-    return out.withColumn("rel_std_error", F.lit(std_error(P)))
+    finest = sketch(_id_rows(spark, sf_dir), [*dims, "field"], "id")
+    return estimated(rollup(finest, dims, ["field"])).withColumn("rel_std_error", F.lit(std_error(P)))
 
 
 def p6_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct users and requests per week and tenant, combined from the stored sketches of the days."""
-    daily = sketches(registers(_id_rows(spark, sf_dir).where("day is not null and tenant_id is not null"), ["day", "tenant_id", "field"], "id"), ["day", "tenant_id", "field"])
-    regs = unpacked(daily.withColumn("week", F.trunc("day", "week")), ["week", "tenant_id", "field"])
-    keys = ["week", "tenant_id", "field"]
-    return estimated(sketches(merge_registers(regs, keys), keys)).drop("sketch")
+    daily = sketch(_id_rows(spark, sf_dir).where("day is not null and tenant_id is not null"), ["day", "tenant_id", "field"], "id")
+    return estimated(merge_sketches(daily.withColumn("week", F.trunc("day", "week")), ["week", "tenant_id", "field"])).drop("sketch")
 
 
 QUERIES = {f.__name__: f for f in (p4_percentiles, p4_by_month, p6_distinct, p6_weeks)}
