@@ -1,8 +1,8 @@
 """Distinct counts over identifier sets too large to hold, with a known error and mergeable partial results.
 
 A sketch has 2^p registers. A register stores the largest rank (leading-zero run of the hash, plus one) it has seen and two
-bits that tell whether the two ranks below it were seen as well - eight bits a register. While it is being built, a register is
-the bit set of the ranks seen, so building and merging are ``bit_or``: partial, in any order, lossless. Counts are estimated by
+bits that tell whether the two ranks below it were seen as well - eight bits a register. While it is being built, a sketch is
+the set of (register, rank) seen, so building and merging are set unions: partial, in any order, lossless, of bounded size. Counts are estimated by
 maximum likelihood; the relative standard error is about 0.76 / sqrt(2^p) (a plain maximum-rank sketch needs 36 % more registers for it).
 """
 
@@ -15,6 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
+
+from weirflow.session import cut
 
 #: Registers: 2^P.
 P = 11
@@ -25,121 +28,122 @@ def std_error(p: int = P) -> float:
     return 0.7608 / 2 ** (p / 2)
 
 
-def hashed(value: Column, p: int = P) -> list[Column]:
-    """(register, rank bit) of a value."""
+def code(value: Column, p: int = P) -> Column:
+    """Register * 64 + rank of a value."""
     h = F.xxhash64(value)
     # the register is the low p bits; the rank is the number of leading zeros of the other 64 - p bits, plus one
     rest = F.call_function("shiftrightunsigned", h, F.lit(p))
     rank = F.lit(64 - p + 1) - F.when(rest == 0, F.lit(0)).otherwise(F.length(F.bin(rest)))
-    return [h.bitwiseAND(F.lit((1 << p) - 1).cast("bigint")).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), rank)]
+    return h.bitwiseAND(F.lit((1 << p) - 1).cast("bigint")).cast("int") * 64 + rank
+
 
+def _trim(codes: pd.Series) -> pd.Series:
+    """Codes seen -> sketch: of each register its highest rank and which of the two ranks below it were seen, sorted."""
+    size = codes.str.len().to_numpy()
+    if not size.sum():
+        return codes
+    flat = np.concatenate(codes.to_list()).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    key = np.sort((row << 32) | flat)
+    reg = key >> 6
+    last = np.append(np.flatnonzero(reg[1:] != reg[:-1]), len(key) - 1)  # the highest rank of each register
+    top = np.repeat(key[last], np.diff(np.append(-1, last)))
+    keep = key[top - key <= 2]
+    ends = np.searchsorted(keep, np.arange(1, len(size)) << 32)
+    return pd.Series(np.split((keep & 0xFFFFFFFF).astype(np.int32), ends))
 
-def _trimmed(bits: Column) -> Column:
-    """The state of a register: its highest bit and the two below it (what is lower tells next to nothing)."""
-    top = F.length(F.bin(bits)) - 1
-    keep = F.greatest(top - 2, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", bits, keep), keep)
 
+def _trimmed(c: str) -> Column:
+    return F.pandas_udf(_trim, ArrayType(IntegerType()))(c)
 
-def registers(rows: DataFrame, keys: Sequence[str], value: str, p: int = P) -> DataFrame:
-    """(keys..., reg, bits): one row per register that was hit. Rows without value give none."""
-    reg, bit = hashed(F.col(value), p)
-    return rows.where(F.col(value).isNotNull()).select(*keys, reg.alias("reg"), bit.alias("bits")).groupBy(*keys, "reg").agg(_trimmed(F.bit_or("bits")).alias("bits"))
 
+def sketch(rows: DataFrame, keys: Sequence[str], value: str, p: int = P) -> DataFrame:
+    """(keys..., sketch) of rows that have a value: ``sketch`` is the sorted ``array<int>`` of register * 64 + rank, for each
+    register its highest rank and those of the two below it that were seen (at most 3 * 2^p entries, 8 bits a register when packed)."""
+    seen = rows.where(F.col(value).isNotNull()).select(*keys, code(F.col(value), p).alias("c"))
+    return seen.groupBy(*keys).agg(F.collect_set("c").alias("c")).select(*keys, _trimmed("c").alias("sketch"))
 
-def merge_registers(regs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sketches combined over everything but ``keys``."""
-    return regs.groupBy(*keys, "reg").agg(_trimmed(F.bit_or("bits")).alias("bits"))
 
+def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches combined over everything but ``keys``: exactly the sketch of the combined values."""
+    seen = sketches.select(*keys, F.explode("sketch").alias("c"))
+    return seen.groupBy(*keys).agg(F.collect_set("c").alias("c")).select(*keys, _trimmed("c").alias("sketch"))
 
-def rollup(regs: DataFrame, dims: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+
+def rollup(finest: DataFrame, dims: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Sketches of every non-empty combination of ``dims`` from those of all of them: ``level`` names the combination
     (``a+b``), dims outside it are null. A null dim is "no value": such rows count only in combinations without that dim.
 
-    Combinations are derived from one that has one dim more, not from the rows; Spark reuses the exchange of that one.
+    A combination is derived from one that has one dim more, which was written once to the shared folder, not from the rows.
     """
-    have: dict[tuple[str, ...], DataFrame] = {tuple(dims): regs}
+    have: dict[tuple[str, ...], DataFrame] = {tuple(dims): cut(finest)}
     for size in range(len(dims) - 1, 0, -1):
         for combo in itertools.combinations(dims, size):
-            parent = next(c for c in sorted(have, key=len) if len(c) == size + 1 and set(combo) < set(c))
-            have[combo] = merge_registers(have[parent], [*keep, *combo])
+            parent = next(c for c in have if len(c) == size + 1 and set(combo) < set(c))
+            merged = merge_sketches(have[parent], [*keep, *combo])
+            have[combo] = cut(merged) if size > 1 else merged
     out = None
     for combo, d in have.items():
         named = d.where(" and ".join(f"{c} is not null" for c in combo))
-        one = named.select(F.lit("+".join(combo)).alias("level"), *[F.col(x) if x in combo else F.lit(None).cast(regs.schema[x].dataType).alias(x) for x in dims], *keep, "reg", "bits")
+        one = named.select(F.lit("+".join(combo)).alias("level"), *[F.col(x) if x in combo else F.lit(None).cast(finest.schema[x].dataType).alias(x) for x in dims], *keep, "sketch")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def sketches(regs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., sketch): the mergeable result, a sorted ``array<int>`` of reg * 1024 + highest rank * 8 + the two bits. At most 2^p entries a group."""
-    top = F.length(F.bin("bits")) - 1
-    low = F.call_function("shiftright", F.col("bits"), F.greatest(top - 2, F.lit(0))).bitwiseAND(F.lit(3).cast("bigint"))
-    # with a rank under 2 the bits below it do not exist; ranks start at 1
-    code = F.col("reg").cast("bigint") * 1024 + top * 8 + F.when(top >= 2, low).otherwise(F.lit(0))
-    return regs.groupBy(*keys).agg(F.array_sort(F.collect_list(code.cast("int"))).alias("sketch"))
-
-
-def unpacked(sk: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Registers of stored sketches, ready to be merged."""
-    s = sk.select(*keys, F.explode("sketch").alias("s"))
-    top = F.expr("(s % 1024) div 8").cast("int")
-    bits = F.call_function("shiftleft", F.lit(1).cast("bigint"), top) + F.when(top >= 2, F.call_function("shiftleft", (F.col("s") % 8).cast("bigint"), top - 2)).otherwise(F.lit(0))
-    return s.select(*keys, F.expr("s div 1024").cast("int").alias("reg"), bits.alias("bits"))
-
-
 def _max_rank(p: int) -> int:
     return 64 - p + 1
 
 
-def ml_estimate(codes: Sequence[np.ndarray], p: int = P) -> np.ndarray:
-    """Maximum-likelihood estimates of many sketches (arrays of packed registers) at once.
+def ml_estimate(sketches: Sequence[np.ndarray], p: int = P) -> np.ndarray:
+    """Maximum-likelihood estimates of many sketches (arrays of register * 64 + rank) at once.
 
     With n distinct values, rank k of a register stays unseen with probability exp(-n q_k / m), q_k = 2^-k (the last rank has
     q of the one before). The log-likelihood is a sum over all ranks a register tells about: unseen ones give -n q / m, seen
-    ones log(1 - exp(-n q / m)). Ranks more than two below the highest tell nothing. Solved by bisection on its derivative.
+    ones log(1 - exp(-n q / m)). Ranks more than two below the highest tell nothing. Its derivative is solved by Newton steps
+    in log-log coordinates, once for all sketches with equal counts of ranks.
     """
     m, last = 1 << p, _max_rank(p)
     q = np.array([0.0] + [2.0 ** -min(k, last - 1) for k in range(1, last + 1)])
     tail = np.array([q[k + 1 :].sum() for k in range(last + 1)])  # mass of the ranks above k
-    patterns: dict[bytes, int] = {}
-    which = np.empty(len(codes), np.int64)
-    distinct: list[np.ndarray] = []
-    for i, c in enumerate(codes):  # groups with equal register states are solved once
-        s = np.sort(np.asarray(c, np.int64) % 1024)
-        which[i] = patterns.setdefault(s.tobytes(), len(patterns))
-        if which[i] == len(distinct):
-            distinct.append(s)
-    seen = np.zeros((len(distinct), last + 1))
-    unseen = np.zeros(len(distinct))
-    for i, s in enumerate(distinct):
-        top, low = s // 8, s % 8
-        np.add.at(seen[i], top, 1)
-        for back, bit in ((1, 2), (2, 1)):
-            k = top - back
-            ok = k >= 1
-            hit = ok & (low & bit > 0)
-            np.add.at(seen[i], k[hit], 1)
-            unseen[i] += q[k[ok & ~hit]].sum()
-        unseen[i] += tail[top].sum() + (m - len(s)) * q[1:].sum()
-    # derivative in x = n / m: sum seen_k q_k / (exp(x q_k) - 1) - unseen = 0; x from 1e-9 m up
-    lo, hi = np.full(len(distinct), -30.0), np.full(len(distinct), float(last) + 8)
+    size = np.array([len(s) for s in sketches], np.int64)
+    n = np.zeros(len(size))
+    if not size.sum():
+        return n
+    flat = np.concatenate([np.asarray(s, np.int64) for s in sketches])
+    row = np.repeat(np.arange(len(size)), size)
+    reg, rank = flat >> 6, flat & 63
+    end = np.append((reg[1:] != reg[:-1]) | (row[1:] != row[:-1]), True)
+    seen = np.bincount(row * (last + 1) + rank, minlength=len(size) * (last + 1)).reshape(len(size), -1).astype(float)
+    # unseen mass: above the highest rank, and of the two below it what is not there
+    top, owner = rank[end], row[end]
+    below = q[np.maximum(top - 1, 0)] + q[np.maximum(top - 2, 0)]  # q[0] = 0
+    unseen = np.bincount(owner, tail[top] + below, len(size)) - np.bincount(row[~end], q[rank[~end]], len(size))
+    unseen += (m - np.bincount(owner, minlength=len(size))) * q[1:].sum()
+    # sketches with equal counts have equal estimates
+    mark = seen @ np.random.default_rng(1).random(last + 1) + unseen * np.pi
+    _, one, which = np.unique(mark, return_index=True, return_inverse=True)
+    seen, unseen = seen[one, 1:], unseen[one]
+    some = seen.sum(1) > 0
+    x = np.where(some, np.log(np.maximum(seen.sum(1), 1) / np.maximum(unseen, 1e-300)), 0.0)
+    x = np.minimum(x, last)
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-        for _ in range(52):
-            mid = (lo + hi) / 2
-            e = np.expm1(np.exp(mid)[:, None] * q[None, 1:])
-            up = (seen[:, 1:] * q[None, 1:] / e).sum(1) > unseen
-            lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-    n = m * np.exp((lo + hi) / 2)
-    n[[not len(s) for s in distinct]] = 0
-    return n[which]
+        for _ in range(12):
+            e = np.exp(x)[:, None] * q[None, 1:]
+            grow = np.expm1(np.minimum(e, 700))
+            f = (seen * q[None, 1:] / grow).sum(1)
+            slope = (seen * q[None, 1:] * e * (grow + 1) / grow**2).sum(1) / f
+            step = (np.log(f) - np.log(unseen)) / slope
+            x = x + np.clip(np.nan_to_num(step), -3, 3)
+    n = np.where(some, m * np.exp(x), 0.0)[which]
+    n[size == 0] = 0
+    return n
 
 
-def estimated(sk: DataFrame, p: int = P) -> DataFrame:
-    """``sk`` with ``estimate`` (rounded to whole values) beside its sketch."""
+def estimated(sketches: DataFrame, p: int = P) -> DataFrame:
+    """``sketches`` with ``estimate`` (rounded to whole values) beside each sketch."""
 
     @F.pandas_udf("bigint")
     def estimate(s: pd.Series) -> pd.Series:
         return pd.Series(np.rint(ml_estimate(list(s), p)).astype(np.int64))
 
-    return sk.withColumn("estimate", estimate("sketch"))
+    return sketches.withColumn("estimate", estimate("sketch"))
