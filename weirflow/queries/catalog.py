@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from . import dealt
+from . import dealt, streams
 
-MODULES = [dealt]
+MODULES = [streams, dealt]
+flagship = streams.flagship
