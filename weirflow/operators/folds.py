@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,19 @@ from ..session import col
 from .stream import Op
 
 
-def scan(df: DataFrame, o: Order, inputs: dict[str, Column], fresh: Callable[[], dict], step: Callable[..., tuple], outputs: str) -> DataFrame:
-    """``df`` with the columns ``outputs`` (DDL): for each row in its stream's order, ``step(state, *inputs)`` gives their values and
-    may change ``state``, which begins as ``fresh()`` for every stream."""
+@dataclass(frozen=True)
+class Machine:
+    """``step(state, *inputs)`` gives a row's outputs (DDL ``outputs``) and may change ``state``, which begins as ``fresh()``. The
+    state holds plain values only, so the same machine runs over sorted batches and as a streaming processor."""
+
+    outputs: str
+    step: Callable[..., tuple]
+    fresh: Callable[[], dict] = dict
+
+
+def scan(df: DataFrame, o: Order, inputs: dict[str, Column], m: Machine) -> DataFrame:
+    """``df`` with the machine's outputs, for each row in its stream's order."""
+    fresh, step, outputs = m.fresh, m.step, m.outputs
     names = df.columns
     keyed = df.withColumns({f"__in{i}": c for i, c in enumerate(inputs.values())})
     keys = [col(k) for k in o.keys]
@@ -60,40 +71,48 @@ def _split_at_gaps(df: DataFrame, o: Order, t: Column, gap: int) -> tuple[DataFr
     return out, Order(o.by, (*o.keys, "__part"))
 
 
-def throttle(interval: int, t: Column, o: Order) -> Op:
-    """Rows at least ``interval`` after the stream's last row that passed; the first passes. Event time."""
-
+def throttle_machine(interval: int) -> Machine:
     def step(s: dict, x: int) -> tuple:
         go = "t" not in s or x - s["t"] >= interval
         if go:
             s["t"] = x
         return (go,)
 
+    return Machine("__go boolean", step)
+
+
+def throttle(interval: int, t: Column, o: Order) -> Op:
+    """Rows at least ``interval`` after the stream's last row that passed; the first passes. Event time."""
+
     def op(df: DataFrame) -> DataFrame:
         parts, po = _split_at_gaps(df, o, t, interval)
-        return scan(parts, po, {"t": t}, dict, step, "__go boolean").where("__go").drop("__go", "__part")
+        return scan(parts, po, {"t": t}, throttle_machine(interval)).where("__go").drop("__go", "__part")
 
     return op
 
 
-def batch_by_time(size: int, timeout: int, t: Column, o: Order) -> Op:
-    """Each row with ``batch_start``, the time of its batch's first row, and ``batch_pos``: a batch ends when it has ``size`` rows
-    or its first row is ``timeout`` old. Event time."""
-
+def batch_by_time_machine(size: int, timeout: int) -> Machine:
     def step(s: dict, x: int) -> tuple:
         if not s or s["n"] >= size or x >= s["t"] + timeout:
-            s["t"], s["n"], s["b"] = x, 0, s.get("b", -1) + 1
+            s["t"], s["n"] = x, 0
         s["n"] += 1
-        return s["t"], s["n"] - 1, s["b"]
+        return s["t"], s["n"] - 1
+
+    return Machine("batch_start bigint, batch_pos int", step)
+
+
+def batch_by_time(size: int, timeout: int, t: Column, o: Order) -> Op:
+    """Each row with ``batch_start``, the time of its batch's first row, and ``batch_pos``: a batch ends when it has ``size`` rows
+    or its first row is ``timeout`` old. Event time."""
 
     def op(df: DataFrame) -> DataFrame:
         parts, po = _split_at_gaps(df, o, t, timeout)
-        return scan(parts, po, {"t": t}, dict, step, "batch_start bigint, batch_pos int, __b int").drop("__b", "__part")
+        return scan(parts, po, {"t": t}, batch_by_time_machine(size, timeout)).drop("__part")
 
     return op
 
 
-def circuit_breaker(threshold: int, reset: int, t: Column, outcome: Column, o: Order) -> Op:
+def breaker_machine(threshold: int, reset: int) -> Machine:
     """Each call with ``decision`` (allowed, probe, rejected), the ``state`` after it and the failures counted. ``outcome``:
     ``success``, ``permanent``, ``canceled``, anything else is a failure. One call at a time.
 
@@ -118,10 +137,15 @@ def circuit_breaker(threshold: int, reset: int, t: Column, outcome: Column, o: O
                 s.update(state="open", at=x)
         return "allowed", s["state"], s["failures"]
 
-    return lambda df: scan(df, o, {"t": t, "out": outcome}, lambda: {"state": "closed", "failures": 0, "at": 0}, step, "decision string, state string, failures int")
+    return Machine("decision string, state string, failures int", step, lambda: {"state": "closed", "failures": 0, "at": 0})
 
 
-def rate_limit(per_second: int, burst: int, t_us: Column, o: Order, ttl_us: int = 180_000_000) -> Op:
+def circuit_breaker(threshold: int, reset: int, t: Column, outcome: Column, o: Order) -> Op:
+    """``breaker_machine`` over each stream's calls."""
+    return lambda df: scan(df, o, {"t": t, "out": outcome}, breaker_machine(threshold, reset))
+
+
+def bucket_machine(per_second: int, burst: int, ttl_us: int = 180_000_000) -> Machine:
     """Each call with ``allowed`` by a token bucket of its key, exact in millionths of a token; a bucket unused for longer than
     ``ttl_us`` begins full. A burst under 1 counts as 1."""
     burst = max(burst, 1) * 1_000_000
@@ -137,7 +161,12 @@ def rate_limit(per_second: int, burst: int, t_us: Column, o: Order, ttl_us: int
             s["tokens"] -= 1_000_000
         return go, s["tokens"]
 
-    return lambda df: scan(df, o, {"t": t_us}, dict, step, "allowed boolean, tokens bigint")
+    return Machine("allowed boolean, tokens bigint", step)
+
+
+def rate_limit(per_second: int, burst: int, t_us: Column, o: Order, ttl_us: int = 180_000_000) -> Op:
+    """``bucket_machine`` over each key's calls."""
+    return lambda df: scan(df, o, {"t": t_us}, bucket_machine(per_second, burst, ttl_us))
 
 
 def concurrency_limit(limit: int, start: Column, end: Column, o: Order) -> Op:
@@ -152,7 +181,7 @@ def concurrency_limit(limit: int, start: Column, end: Column, o: Order) -> Op:
             heapq.heappush(ends, b)
         return go, len(ends)
 
-    return lambda df: scan(df, o, {"a": start, "b": end}, dict, step, "allowed boolean, in_flight int")
+    return lambda df: scan(df, o, {"a": start, "b": end}, Machine("allowed boolean, in_flight int", step))
 
 
 def cache_replay(ttl: int, t: Column, succeeded: Column, o: Order) -> Op:
@@ -165,10 +194,10 @@ def cache_replay(ttl: int, t: Column, succeeded: Column, o: Order) -> Op:
             s["until"] = x + ttl
         return ("miss",)
 
-    return lambda df: scan(df, o, {"t": t, "ok": succeeded}, dict, step, "cache string")
+    return lambda df: scan(df, o, {"t": t, "ok": succeeded}, Machine("cache string", step))
 
 
-def idempotency(ttl: int, t: Column, key: Column, payload: Column, failed: Column, o: Order) -> Op:
+def idempotency_machine(ttl: int) -> Machine:
     """Each call with ``idempotency``: ``passthrough`` (no key), ``executed``, ``replayed`` (same payload within ``ttl`` of the
     stored result), ``conflict`` (another payload). A failed execution frees the key. Streams are keys (``o.keys``)."""
 
@@ -182,7 +211,12 @@ def idempotency(ttl: int, t: Column, key: Column, payload: Column, failed: Colum
             s.update(until=x + ttl, payload=p)
         return ("executed",)
 
-    return lambda df: scan(df, o, {"t": t, "k": key, "p": payload, "f": failed}, dict, step, "idempotency string")
+    return Machine("idempotency string", step)
+
+
+def idempotency(ttl: int, t: Column, key: Column, payload: Column, failed: Column, o: Order) -> Op:
+    """``idempotency_machine`` over each key's calls."""
+    return lambda df: scan(df, o, {"t": t, "k": key, "p": payload, "f": failed}, idempotency_machine(ttl))
 
 
 def state_machine(allowed: dict[str, set[str]], initial: str | None, to: Column, o: Order) -> Op:
@@ -198,4 +232,4 @@ def state_machine(allowed: dict[str, set[str]], initial: str | None, to: Column,
             return ("entered" if now is None else "same" if want == now else "moved"), want
         return "conflict", now
 
-    return lambda df: scan(df, o, {"to": to}, dict, step, "verdict string, state string")
+    return lambda df: scan(df, o, {"to": to}, Machine("verdict string, state string", step))

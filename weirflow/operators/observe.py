@@ -38,7 +38,7 @@ def prometheus(counted: DataFrame, name: str = "events_total") -> DataFrame:
     )
     over = counted.where("overflow > 0").select(F.concat(F.lit(name + "_overflow "), F.col("overflow").cast("string")).alias("line"), F.lit("").alias("a"), F.lit("").alias("k"), F.lit(1).alias("o"))
     # a few thousand lines at most (the metrics sink's limit), so one window is no bottleneck
-    return body.unionByName(over).select(F.row_number().over(Window.orderBy("o", "a", "k")).alias("line_no"), "line")
+    return body.unionByName(over).select(F.row_number().over(Window.orderBy("o", "a", "k")).cast("bigint").alias("line_no"), "line")
 
 
 def json_lines(events: DataFrame, plain: list[str], payloads: list[str] = (), secrets: list[str] = (), time: str | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dealt, streams
+from . import dealt, flows, scalars, streams
 
-MODULES = [streams, dealt]
+MODULES = [streams, scalars, flows, dealt]
 flagship = streams.flagship

@@ -207,7 +207,7 @@ SQL = {
         "e.t as batch_start, 0 as batch_pos", f"case when r.batch_pos >= 3 or e.t >= r.batch_start + {12 * HOUR} then e.t else r.batch_start end, case when r.batch_pos >= 3 or e.t >= r.batch_start + {12 * HOUR} then 0 else r.batch_pos + 1 end",
         "select user_id, event_id, batch_start, batch_pos from r",
     ),
-    "session_numbers": f"select event_id, sum(case when g <= {6 * HOUR} then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) - 1 as session from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as g from events)",
+    "session_numbers": f"select event_id, cast(sum(case when g <= {6 * HOUR} then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) - 1 as bigint) as session from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as g from events)",
     "from_rows_ordinal": "select * from (values (0::bigint, 3, 'c'), (1, 1, 'a'), (2, 2, 'b')) v(_i, value, name)",
     "error_class_count": "select case when kind in ('timeout', 'retry') then 'transient' when kind in ('canceled', 'error') then 'neither' else 'permanent' end as class, count(*) as n from action_events group by 1",
 }
