@@ -27,8 +27,11 @@ def clean_id(c: Column) -> Column:
 
 
 def micros(c: Column) -> Column:
-    """Microseconds since 1970-01-01 of a timestamp with or without zone (the latter is UTC); independent of the session's zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c.cast("timestamp_ntz"))
+    """Microseconds since 1970-01-01 of a timestamp without zone, taken as UTC whatever the session's zone (a timestamp with
+    zone counts by its wall clock in the session's zone)."""
+    since = c.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), since)
+    return part("DAY").cast("bigint") * 86_400_000_000 + part("HOUR").cast("bigint") * 3_600_000_000 + part("MINUTE").cast("bigint") * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
 
 
 def go_duration_ns(c: Column) -> Column:

@@ -20,6 +20,7 @@ class FoldProcessor(StatefulProcessor):
 
     def __init__(self, machine: Machine, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], columns: Sequence[str], ttl_ms: int | None):
         self.machine, self.keys, self.order, self.inputs, self.columns, self.ttl_ms = machine, list(keys), list(order), list(inputs), list(columns), ttl_ms
+        self.names = [f.name for f in StructType.fromDDL(machine.outputs).fields]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("machine", "json string", self.ttl_ms)
@@ -27,11 +28,10 @@ class FoldProcessor(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
         state = json.loads(self.state.get()[0]) if self.state.exists() else self.machine.fresh()
-        names = [f.name for f in StructType.fromDDL(self.machine.outputs).fields]
         args = [[None if pd.isna(v) else v for v in batch[c].tolist()] for c in self.inputs]
         made = [self.machine.step(state, *x) for x in zip(*args)]
         self.state.update((json.dumps(state),))
-        yield pd.concat([batch[self.columns], pd.DataFrame(made, columns=names)], axis=1)
+        yield pd.concat([batch[self.columns], pd.DataFrame(made, columns=self.names)], axis=1)
 
     def close(self) -> None:
         pass
