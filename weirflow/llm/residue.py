@@ -2,8 +2,10 @@
 
 1. One pass over the documents gives each a trusted label or none (``residue_rules``), a key of its exact words and a 64-bit
    SimHash of its word five-shingles. Only these go on; equal texts are one node from here.
-2. Partitioned SimHash tables: the signature is cut into 8 blocks, each pair of blocks is the key of a table. Nodes without label
-   meet residue bodies that share a key, in any table; pairs too far in Hamming distance or size are dropped within the join.
+2. Partitioned SimHash tables: the signature is cut into 8 blocks of neighbouring bits, and once more into 8 blocks of every
+   eighth bit; each pair of blocks of a cut is the key of a table (56 tables). Nodes without label meet residue bodies that share a
+   key, in any table; pairs too far in Hamming distance or size are dropped within the join. At likeness 0.8 about 15 % of the bits
+   differ and nine pairs in ten meet, at 0.9 practically all.
 3. The texts of the pairs left are compared: Jaccard likeness of their five-shingles of at least 0.8 makes a link.
 4. Labels spread over links, round by round from the newly labelled nodes, until a round adds none: the connected components
    of the near-duplicate graph that hold a trusted body. Links between two labelled nodes are never made.
@@ -31,6 +33,8 @@ SIMILARITY = 0.8
 #: Texts further apart than this in their 64 bits are not compared. At likeness 0.8 about 9 bits differ.
 HAMMING = 18
 BLOCKS = 8
+#: Labelled nodes up to which their tables are broadcast (56 rows of about 50 bytes each); beyond, both sides are shuffled by bucket.
+BROADCAST_NODES = 5_000
 #: Ids of texts to compare up to which they are broadcast to the scan of the documents (8 bytes each); beyond, the scan is shuffled.
 BROADCAST_IDS = 1_000_000
 _MEMO = 500_000
@@ -58,13 +62,15 @@ def shingle_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
     return out * _MULTIPLIERS[0]
 
 
-def simhash(shingles: np.ndarray) -> int:
-    """The majority of each bit over the distinct shingles, as a signed 64-bit number."""
+def simhash(shingles: np.ndarray) -> tuple[int, int]:
+    """The majority of each bit over the distinct shingles, as a signed 64-bit number; and the same bits with those that are
+    eight apart side by side."""
     bits = np.unpackbits(np.unique(shingles).view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(bits)).view(np.int64)[0])
+    most = bits.sum(0, dtype=np.int64) * 2 > len(bits)
+    return tuple(int(np.packbits(m).view(np.int64)[0]) for m in (most, most.reshape(8, 8).T.ravel()))
 
 
-_SIGNED = "doc_id bigint, key string, sig bigint, shingles int, label string"
+_SIGNED = "doc_id bigint, key string, sig bigint, turned bigint, shingles int, label string"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,30 +87,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             label = "slot" if has_slot(text) else "body" if has_residue_body(text) else None
             s = shingle_hashes(words, memo)
-            rows.append((doc, xxhash.xxh128_hexdigest(" ".join(words)), simhash(s), len(s), label))
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string())
-        cols = list(zip(*rows)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key", "sig", "shingles", "label"])
+            rows.append((doc, xxhash.xxh128_hexdigest(" ".join(words)), *simhash(s), len(s), label))
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        cols = list(zip(*rows)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "key", "sig", "turned", "shingles", "label"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig, shingles, label) of documents (doc_id, text) with words."""
+    """(doc_id, key, sig, turned, shingles, label) of documents (doc_id, text) with words."""
     return docs.where("text is not null").mapInArrow(_sign, _SIGNED)
 
 
 def tables(nodes: DataFrame) -> DataFrame:
     """Each node once per table: ``bucket`` is the table and the two blocks that are its key."""
-    size = 64 // BLOCKS
-    block = [F.call_function("shiftrightunsigned", F.col("sig"), F.lit(size * i)).bitwiseAND(F.lit((1 << size) - 1).cast("bigint")) for i in range(BLOCKS)]
-    keys = [F.lit(t << (2 * size)).cast("bigint") + block[i] * (1 << size) + block[j] for t, (i, j) in enumerate(itertools.combinations(range(BLOCKS), 2))]
+    size, keys = 64 // BLOCKS, []
+    for sig in ("sig", "turned"):
+        block = [F.call_function("shiftrightunsigned", F.col(sig), F.lit(size * i)).bitwiseAND(F.lit((1 << size) - 1).cast("bigint")) for i in range(BLOCKS)]
+        keys += [F.lit((len(keys) + t) << (2 * size)).cast("bigint") + block[i] * (1 << size) + block[j] for t, (i, j) in enumerate(itertools.combinations(range(BLOCKS), 2))]
     return nodes.select("*", F.explode(F.array(*keys)).alias("bucket"))
 
 
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (rep, sig, shingles) of either side that share a bucket and are close in Hamming distance and size."""
+    """Pairs (a, b) of nodes (rep, sig, turned, shingles) of either side that share a bucket and are close in Hamming distance and size."""
     l = tables(left).select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("na"), "bucket")
     r = tables(right).select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("nb"), F.col("bucket").alias("bucket_"))
     near = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+    r = F.broadcast(r) if right.count() <= BROADCAST_NODES else r
     return l.join(r, (F.col("bucket") == F.col("bucket_")) & near).select("a", "b").distinct()
 
 
@@ -136,10 +144,10 @@ def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     rows = docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text"))
     all_ = cut(signed(rows))
     # one node per text; its label is that of any of its documents
-    nodes = all_.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles"), F.min("label").alias("label"))
+    nodes = all_.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("turned").alias("turned"), F.first("shingles").alias("shingles"), F.min("label").alias("label"))
     nodes = cut(nodes)
-    grown = nodes.where("label = 'body'").select("key", "rep", "sig", "shingles")
-    rest = nodes.where("label is null").select("key", "rep", "sig", "shingles")
+    grown = nodes.where("label = 'body'").select("key", "rep", "sig", "turned", "shingles")
+    rest = nodes.where("label is null").select("key", "rep", "sig", "turned", "shingles")
     near = None
     while True:
         pairs = cut(near_pairs(rest, grown))
