@@ -35,7 +35,7 @@ def test_narrow_and_text_of(spark):
 
 
 def test_durations_and_ids(spark):
-    rows = [("1.5ms", 1_500_000), ("2m3s", 123 * 10**9), ("812µs", 812_000), ("-1h0.5m", -3630 * 10**9), ("0", 0), ("n/a", None), ("661 us", None), ("12", None), (None, None), ("9223372036854775808ns", None), ("-9223372036854775808ns", -(2**63))]
+    rows = [("1.5ms", 1_500_000), ("2m3s", 123 * 10**9), ("812µs", 812_000), ("-1h0.5m", -3630 * 10**9), ("0", 0), ("n/a", None), ("661 us", None), ("12", None), (None, None), ("9223372036854775808ns", None), ("-9223372036854775808ns", -(2**63)), ("0.1234567899s", 123456789), ("0.00000000011h", 396), (".5s", 5 * 10**8), ("1.s", 10**9), ("99999999999999999999999h", None)]
     df = spark.createDataFrame([(r[0],) for r in rows], "d string")
     assert [r[0] for r in df.select(go_duration_ns(F.col("d"))).collect()] == [r[1] for r in rows]
     assert [one(spark, clean_id(F.lit(x).cast("string"))) for x in (" Ab\t", "  ", None)] == ["ab", None, None]

@@ -47,7 +47,7 @@ def adaptive_timeout(initial: int | Column, failures: Column) -> Column:
     """initial * (1 + failures / 10) in whole numbers; at most the largest 64-bit number; no failures: initial; initial <= 0: 0."""
     start, n = _long(initial), F.greatest(failures.cast("bigint"), F.lit(0))
     whole = _wide(start) * (1 + F.floor(n / 10)).cast("decimal(19,0)")
-    part = (F.expr("0") + F.floor(start / 10).cast("bigint")) * (n % 10) + F.floor((start % 10) * (n % 10) / 10).cast("bigint")
+    part = F.floor(start / 10).cast("bigint") * (n % 10) + F.floor((start % 10) * (n % 10) / 10).cast("bigint")
     return F.when(start <= 0, F.lit(0).cast("bigint")).otherwise(_saturated(whole + _wide(part)))
 
 

@@ -42,11 +42,18 @@ def go_duration_ns(c: Column) -> Column:
     part = F.lit(_NUMBER + _UNIT)
     number, unit = F.regexp_extract_all(body, part, F.lit(1)), F.regexp_extract_all(body, part, F.lit(2))
     scale = F.create_map(*[F.lit(x) for k, v in GO_UNITS.items() for x in (k, v)])
-    # a number of more than 19 digits before the point cannot fit 64 bits whatever its unit
+
+    def nanos(x: Column) -> Column:
+        """Whole units and the fraction apart, so that neither is rounded; more than 19 digits before the point fit no 64 bits."""
+        unit_ = F.element_at(scale, x["u"])
+        whole = F.concat(F.lit("0"), F.substring_index(x["n"], ".", 1)).try_cast("decimal(20,0)") * unit_.cast("decimal(14,0)")
+        digits = F.when(F.contains(x["n"], F.lit(".")), F.substring(F.substring_index(x["n"], ".", -1), 1, 17)).otherwise(F.lit(""))
+        return whole + F.floor(F.concat(F.lit("0."), digits, F.lit("0")).cast("decimal(18,17)") * unit_.cast("decimal(14,0)"))
+
     value = F.aggregate(
         F.arrays_zip(number.alias("n"), unit.alias("u")),
         F.lit(0).cast("decimal(38,0)"),
-        lambda acc, x: acc + F.floor(F.expr("try_cast(0 as decimal(38,9))") + x["n"].try_cast("decimal(28,9)") * F.element_at(scale, x["u"]).cast("decimal(14,0)")).cast("decimal(38,0)"),
+        lambda acc, x: (acc + nanos(x)).cast("decimal(38,0)"),
         lambda acc: F.when(text.startswith("-"), -acc).otherwise(acc),
     ).try_cast("bigint")
     return F.when(body == "0", F.lit(0).cast("bigint")).when(text.rlike(rf"^[+-]?(?:{_NUMBER}{_UNIT})+\z"), value)
