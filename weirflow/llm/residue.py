@@ -33,8 +33,6 @@ SIMILARITY = 0.8
 #: Texts further apart than this in their 64 bits are not compared. At likeness 0.8 about 9 bits differ.
 HAMMING = 18
 BLOCKS = 8
-#: Labelled nodes up to which their tables are broadcast (56 rows of about 50 bytes each); beyond, both sides are shuffled by bucket.
-BROADCAST_NODES = 5_000
 #: Ids of texts to compare up to which they are broadcast to the scan of the documents (8 bytes each); beyond, the scan is shuffled.
 BROADCAST_IDS = 1_000_000
 _MEMO = 500_000
@@ -112,7 +110,6 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     l = tables(left).select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("na"), "bucket")
     r = tables(right).select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("nb"), F.col("bucket").alias("bucket_"))
     near = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
-    r = F.broadcast(r) if right.count() <= BROADCAST_NODES else r
     return l.join(r, (F.col("bucket") == F.col("bucket_")) & near).select("a", "b").distinct()
 
 
