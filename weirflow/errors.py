@@ -82,4 +82,20 @@ def positive(name: str, value: int) -> int:
     return value
 
 
-__all__ = ["ERROR", "FlowError", "col", "error", "error_class", "is_permanent", "is_transient", "no_error", "ok", "positive", "require", "split", "stop_at_first"]
+__all__ = ["ERROR", "FlowError", "col", "error", "error_class", "from_public", "is_permanent", "is_transient", "no_error", "ok", "positive", "public", "require", "split", "stop_at_first", "transport"]
+
+
+def public(e: Column) -> Column:
+    """What a client may see of an error column: its kind, and its message unless it is internal."""
+    hidden = e["kind"].isNull() | (e["kind"] == "Internal")
+    return F.when(e.isNotNull(), F.struct(F.coalesce(e["kind"], F.lit("Internal")).alias("error"), F.when(hidden, "internal server error").otherwise(e["message"]).alias("message")))
+
+
+def from_public(kind: Column, message: Column) -> Column:
+    """An error column from what a client saw; an unknown kind gives none."""
+    return F.when(kind.isin(*KINDS), F.struct(kind.alias("kind"), F.coalesce(F.nullif(message, F.lit("")), F.lit("remote request failed")).alias("message")))
+
+
+def transport(e: Column) -> Column:
+    """At a boundary an error without known kind is a failure to connect."""
+    return F.when(e.isNull(), no_error()).when(e["kind"].isin(*KINDS), e).otherwise(error("Unavailable", "transport error"))

@@ -97,3 +97,14 @@ def truthy(text: Column) -> Column:
 def truthy_map(m: Column) -> Column:
     """A map is true if any of its values is."""
     return F.coalesce(F.exists(F.map_values(m), truthy), F.lit(False))
+
+
+def coerce_fields(m: Column, fields: dict[str, str]) -> Column:
+    """A struct from a map of texts: known keys are coerced to their targets, unknown ones ignored, missing ones null; one value that
+    does not fit makes the whole struct no value."""
+    texts = {k: F.try_element_at(m, F.lit(k)) for k in fields}
+    made = {k: coerce(texts[k], t) for k, t in fields.items()}
+    bad = F.lit(False)
+    for k in fields:
+        bad = bad | (texts[k].isNotNull() & made[k].isNull())
+    return F.when(~bad, F.struct(*[v.alias(k) for k, v in made.items()]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dealt, flows, scalars, streams
+from . import dealt, extras, flows, scalars, streams
 
-MODULES = [streams, scalars, flows, dealt]
+MODULES = [streams, scalars, flows, extras, dealt]
 flagship = streams.flagship
