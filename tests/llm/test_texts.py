@@ -122,7 +122,7 @@ def test_close_windows_meet():
 
 
 SLOTS = ["Dear {{ name }}, welcome.", "Your run ended at ${release_date} today.", "We closed <no value> tickets.", "It took %!s(MISSING) attempts.", "Hi [insert team name], see below.", "The __service__ moved.", "Moved on XXXXX to the new place.",
-         "The *** version number *** is out.", "See <%= link %> for more.", "Hello _______, thanks.", "the [object Object] team", "Nobody saw the undefined again.", "Call @@tenant@@ now.", "Sent to %(owner)s by mail."]
+         "The *** version number *** is out.", "See <%= link %> for more.", "Hello _______, thanks.", "the [object Object] team", "Nobody saw the undefined again.", "Call @@tenant@@ now.", "Sent to %(owner)s by mail.", "* Nobody fenced the ledger ${STARTTIME} 19:40.", "We agree on it *** YOUR COMPONENT HERE *** today.", "Ihr Lauf %s endete."]
 CLEAN = ["Use `{{ name }}` in the template.", 'It printed "<no value>" once.', "```\nexport A=${HOME}/x\n```\nThat sets the path.", "The linter flags templates with leftovers such as [insert team name] or TODO.", "The path is /v1/x/{id}/steps/{step} and both are checked.",
          "Behaviour for a nil mesh is undefined in the old client.", "> Please enable JavaScript\n\nThat banner came from the old console, which we deleted last week together with its pages.", "20:30:59 level=info err=<nil>", 'log.Printf("canal %s took %v", in.ID)', "What??? Really.", "",
          'Clients saw a plain "404 Not Found" for 58 minutes because the router had lost its table.', "The dashboard draws its graph with JavaScript, and people who disable scripts get the table view."]

@@ -32,7 +32,7 @@ SLOT = re.compile(
             r"(?<![\w%\"'(=])%[svd](?![\w%])",
             r"(?<![\w.])__[A-Za-z]\w*?__(?![\w(])",
             r"(?<![\w])_{5,}(?!\w)",
-            r"\*{3,}\s*" + _PHRASE + r"\s*\*{3,}",
+            r"\*{3,}\s*(?i:" + _PHRASE + r")\s*\*{3,}",
             r"«(?i:" + FIELDS + r")»",
             r"(?<!\w)X{4,}(?!\w)",
             r"(?<![\w?!])\?{3}(?![\w?!])",
@@ -54,7 +54,7 @@ _MAY = re.compile(r"[{}%«\[]|__|\*\*\*|XXXX|\?\?\?|<|&lt;|\$\(|@@|undefined| he
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|^[ \t]*>[^\n]*", re.M)
 _DISCUSSED = re.compile(r"(?i)\b(?:such as|leftovers?|placeholders?|templates?|linter|renderer|is undefined (?:in|for|by|when|behaviou?r)|undefined behaviou?r)\b")
-_CODE_LINE = re.compile(r"^\s*(?:func|package|import|return|if|for|var|const|type|def|class|let|use|log\.|fmt\.|//|/\*|\*/?\s|\}|export |echo )|[{};]\s*$|:=")
+_CODE_LINE = re.compile(r"^\s*(?:func|package|import|return|if|for|var|const|type|def|class|let|use|log\.|fmt\.|//|/\*|\*/|\}|export |echo )|[{};]\s*$|:=")
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?=\S)[^.!?\n]*)*[.!?]*")
 
 
