@@ -55,13 +55,13 @@ def pivot_features(long: DataFrame, types: Sequence[str] | None = None, as_of_us
     A type an entity never had gives 0, null, null, 0. Without ``types``, the list is every type found; more than
     ``max_types`` raise an error that asks for an explicit list (nothing is dropped silently). Records without entity are left out.
     """
-    found = long.agg(F.max("last_us").alias("as_of"), F.slice(F.array_sort(F.collect_set("event_type")), 1, max_types + 1).alias("types")).first() if types is None or as_of_us is None else None
     if types is None:
-        types = found["types"]
-        if len(types) > max_types:
+        found = long.where("event_type is not null").select("event_type").distinct().limit(max_types + 1).collect()
+        if len(found) > max_types:
             raise ValueError(f"more than {max_types} event types: pass an explicit list of the wanted types")
+        types = sorted(r["event_type"] for r in found)
     if as_of_us is None:
-        as_of_us = found["as_of"]
+        as_of_us = long.agg(F.max("last_us")).first()[0]
     types = list(types)
     stems = column_stems(types)
     named = long.where("entity is not null")
