@@ -133,7 +133,7 @@ e as (select g.node, g.parent, g.named_root, g.parent is not null and k.node is
 walk as (select node, node as root, 0::bigint as depth, node as path from e where up is null union all
  select e.node, walk.root, walk.depth + 1, walk.path || '/' || e.node from walk join e on e.up = walk.node),
 lost as (select node, up from e where node not in (select node from walk)),
-climb as (select node, up as at_, 1 as d from lost union all select climb.node, lost.up, d + 1 from climb join lost on climb.at_ = lost.node where d < 12 and climb.at_ <> climb.node),
+climb as (select node, up as at_ from lost union select climb.node, lost.up from climb join lost on climb.at_ = lost.node),
 n as (select e.node, e.parent, e.named_root, w.root, w.depth, w.path,
   case when e.missing then 'missing_parent' when w.node is not null then 'rooted' when exists (select 1 from climb c where c.node = e.node and c.at_ = e.node) then 'on_cycle' else 'below_cycle' end as state
   from e left join walk w on e.node = w.node)
