@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dealt, extras, flows, scalars, streams
+from . import dealt, extras, flows, scalars, streaming, streams
 
-MODULES = [streams, scalars, flows, extras, dealt]
+MODULES = [streams, scalars, flows, extras, streaming, dealt]
 flagship = streams.flagship

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..functions.coerce import coerce_fields, text_of
+from ..functions.scalars import adaptive_timeout, redacted, scope_hash
 from ..functions.values import clean_id, micros
-from ..operators import compose, observe, stateful, stream
+from ..operators import compose, folds, observe, stateful, stream
 from ..order import order
-from ..plans.graph import Builder
+from ..plans.graph import Builder, ExecutionError, Suspend, key, load, output, save
 from ..plans.hooks import inspected
-from ..session import table
+from ..plans.policy import Journal
+from ..plans.stage import Registry, distinct_stage, filter_stage
+from ..session import ensure_checkpoint_dir, table
 from .dealt import sql_id
-from .streams import events
+from .streams import BY_USER, HOUR, events, fold_sql
 
 
 def coerce_struct_props(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,3 +131,106 @@ select saga, count(*) as runs, count(*) filter (where f = 0) as succeeded, count
 select case when not epoch_us((select max(stored_at) from idempotency_entries)) - epoch_us(at_) < 86400000000 then 'acquired' when e.status is not null then 'completed' else coalesce(e.state, 'in_progress') end as answer, count(*) as n from n group by 1""",
     "plan_nodes": "select * from (values (0, 'graph', 'graph', 0), (1, 'clean', 'node', 1), (2, 'count', 'node', 1), (3, 'load', 'node', 1), (4, 'report', 'node', 1)) v(id, name, kind, depth)",
 }
+
+
+def scope_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of a scope: an action's node with its tags, whose order and repetitions do not matter."""
+    tags = F.concat("tags", F.slice(F.col("tags"), 1, 1))
+    return table(spark, sf_dir, "action_catalog").select("name", scope_hash([F.coalesce("node", F.lit(""))], [tags]).alias("scope"))
+
+
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.sha2(F.to_json(F.struct("n_nationkey", "n_name")), 256).alias("key"))
+
+
+def ring_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.take(7, order("seq"))(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_name").alias("payload")).where("seq > 3"))
+
+
+def memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.last_n(1000, order("line_no"))(table(spark, sf_dir, "action_events")).select("line_no", clean_id(F.col("kind")).alias("kind"))
+
+
+def collect_forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounded collection of each segment's customers; more than the bound would be refused."""
+    c = stream.collect(1_000_000_000, order("c_custkey", keys=("c_mktsegment",)), F.col("c_custkey"), kind="Forbidden")(table(spark, sf_dir, "customer"))
+    return c.select("c_mktsegment", F.size("items").alias("n"), F.element_at("items", 1).alias("first_key"), F.element_at("items", -1).alias("last_key"))
+
+
+def redacted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", redacted(F.col("c_name")).alias("c_name"))
+
+
+def adaptive_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A breaker whose calls get a timeout that grows with the failures counted."""
+    e = events(spark, sf_dir).withColumn("o", F.when(F.col("event_id") % 3 == 0, "success").otherwise("timeout"))
+    out = folds.circuit_breaker(5, 3 * HOUR, micros(F.col("ts")), F.col("o"), BY_USER)(e)
+    return out.groupBy("user_id").agg(F.max(adaptive_timeout(1_000_000_007, F.col("failures"))).alias("longest"), F.sum((F.col("decision") == "rejected").cast("bigint")).alias("rejected"))
+
+
+def named_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source and operators by name, configured from texts."""
+
+    @dataclass
+    class AtLeast:
+        cents: int = 0
+
+    r = Registry()
+    r.add(
+        sources={"events": lambda s, sf: table(s, sf, "events")},
+        operators={"at_least": (lambda c: filter_stage("at_least", F.col("value") * 100 >= c.cents), AtLeast), "first": (lambda: distinct_stage("first", order("ts", "event_id"), "user_id"), None)},
+        aliases={"clicks": "events"},
+    )
+    return r.pipeline(spark, "clicks", [("at_least", {"cents": " 12000 "}), ("first", {})], sf=sf_dir).select("user_id", "event_id")
+
+
+def dag_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that is suspended after its first layer, written, read again and finished."""
+    go = []
+
+    def total(s):
+        if not go:
+            raise Suspend("not yet")
+        return output(s, "orders").agg(F.sum("o_orderkey").alias("total"))
+
+    g = Builder().node("orders", lambda s: table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")).node("total", total).edge("orders", "total").compile()
+    try:
+        g.run(materialize=True)
+    except ExecutionError as e:
+        folder = f"{ensure_checkpoint_dir(spark)}/weirflow-graphs/{uuid.uuid4().hex}"
+        save(e.state, folder)
+    go.append(True)
+    return output(g.run(load(spark, folder, [key(n) for n in g.nodes])), "total")
+
+
+def durable_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step's result kept in a journal: the second call reads it."""
+    j = Journal(spark, f"{ensure_checkpoint_dir(spark)}/weirflow-journal/{uuid.uuid4().hex}")
+    j.step("e1", "count", lambda: table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
+    return j.step("e1", "count", lambda: spark.range(0).select(F.lit("").alias("o_orderstatus"), F.lit(0).alias("n")))
+
+
+QUERIES |= {f.__name__: f for f in (scope_hashes, cache_keys, ring_drain, memory_sink, collect_forbidden, redacted_rows, adaptive_breaker, named_pipeline, dag_resumed, durable_step)}
+
+_PREFIX = "unhex(lpad(to_hex(strlen({0})), 16, '0')) || encode({0})"
+_WAIT, _PROBE = f"r.state = 'open' and e.t - r.at_ < {3 * HOUR}", f"r.state = 'open' and e.t - r.at_ >= {3 * HOUR}"
+_GOOD = "e.event_id % 3 = 0"
+_FAILS = f"case when {_WAIT} then r.f when {_GOOD} then 0 else r.f + 1 end"
+_OPENS = f"(not ({_WAIT}) and not ({_GOOD}) and ({_PROBE} or r.f + 1 >= 5))"
+
+SQL |= {
+    "scope_hashes": "select name, sha256(" + _PREFIX.format("coalesce(node, '')") + " || " + _PREFIX.format("coalesce(array_to_string(list_transform(list_sort(list_distinct(tags)), lambda v: lpad(to_hex(strlen(v)), 16, '0') || v), ''), '')") + ") as scope from action_catalog",
+    "cache_keys": """select n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":' || to_json(n_name)::varchar || '}') as key from nation""",
+    "ring_drain": "select s_suppkey as seq, s_name as payload from supplier where s_suppkey > 3 order by s_suppkey limit 7",
+    "memory_sink": f"select line_no, {sql_id('kind')} as kind from action_events order by line_no desc limit 1000",
+    "collect_forbidden": "select c_mktsegment, cast(count(*) as integer) as n, min(c_custkey) as first_key, max(c_custkey) as last_key from customer group by 1",
+    "redacted_rows": "select c_custkey, case when c_name is not null then '[redacted]' end as c_name from customer",
+    "adaptive_breaker": fold_sql(
+        f"'closed' as state, case when {_GOOD} then 0 else 1 end as f, cast(0 as bigint) as at_, 'allowed' as d",
+        f"case when {_WAIT} or {_OPENS} then 'open' else 'closed' end, {_FAILS}, case when {_OPENS} then e.t else r.at_ end, case when {_WAIT} then 'rejected' else 'allowed' end",
+        "select user_id, max(1000000007 * (1 + f // 10) + cast(100000000 * (f % 10) + 7 * (f % 10) // 10 as bigint)) as longest, count(*) filter (where d = 'rejected') as rejected from r group by 1",
+    ),
+    "named_pipeline": "select user_id, event_id from events where value * 100 >= 12000 qualify row_number() over (partition by user_id order by ts, event_id) = 1",
+    "dag_resumed": "select cast(sum(o_orderkey) as bigint) as total from orders where o_orderstatus = 'F'",
+    "durable_step": "select o_orderstatus, count(*) as n from orders group by 1",
+}
