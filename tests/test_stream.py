@@ -71,6 +71,18 @@ def test_global_ordinal_with_ties_elsewhere(spark):
     assert [r["_i"] for r in got] == list(range(2000))
 
 
+def test_hot_keys_are_numbered_alike(spark):
+    rnd = random.Random(4)
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 50}", rnd.randrange(10**6), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, t int, id int").repartition(5)
+    o = order("t", "id", keys=("k",))
+    plain = sorted((r["id"], r["_i"]) for r in ordinal(df, o).collect())
+    assert sorted((r["id"], r["_i"]) for r in ordinal(df, o, hot_rows=300).collect()) == plain
+    a = sorted((r["k"] or "", r["batch"], list(r["items"])) for r in stream.batch(7, o, F.col("id"), hot_rows=300)(df).collect())
+    assert a == sorted((r["k"] or "", r["batch"], list(r["items"])) for r in stream.batch(7, o, F.col("id"))(df).collect())
+    assert ordinal(df, o, hot_rows=10**9).count() == 3000
+
+
 def timed(spark, seed, users=4, n=160):
     rnd = random.Random(seed)
     rows = [(u, t, i) for i, (u, t) in enumerate((rnd.randrange(users), rnd.randrange(1000)) for _ in range(n))]

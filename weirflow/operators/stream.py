@@ -51,6 +51,8 @@ def take(n: int, o: Order) -> Op:
             return df.limit(0)
         if not o.keys and ERROR not in df.columns:
             return df.orderBy(*[col(c) for c in o.by]).limit(n)  # TakeOrderedAndProject: no full sort
+        if ERROR not in df.columns:  # a limit on the rank is applied before the shuffle, too
+            return df.withColumn("__n", F.row_number().over(o.window())).where(f"__n <= {n}").drop("__n")
         good = ok(df).cast("int")
         before = F.coalesce(F.sum(good).over(o.window().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return df.withColumn("__n", before).where(f"__n < {n}").drop("__n")
@@ -76,26 +78,26 @@ def _items(o: Order, item: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(o.struct(item.alias("_x")))), lambda s: s["_x"])
 
 
-def batch(size: int, o: Order, item: Column) -> Op:
+def batch(size: int, o: Order, item: Column, hot_rows: int | None = None) -> Op:
     """Chunks of ``size`` consecutive rows of each stream: (keys..., batch, items); the last may be shorter. A chunk is a group
-    of its own, so no task holds a whole stream."""
+    of its own, so no task holds a whole stream; ``hot_rows`` (see ``ordinal``) spreads the numbering of hot keys, too."""
     positive("size", size)
 
     def op(df: DataFrame) -> DataFrame:
-        numbered = ordinal(stop_at_first(df, o, keep_error=False), o).withColumn("batch", F.floor(F.col("_i") / size))
+        numbered = ordinal(stop_at_first(df, o, keep_error=False), o, hot_rows=hot_rows).withColumn("batch", F.floor(F.col("_i") / size))
         return numbered.groupBy(*[col(k) for k in o.keys], "batch").agg(_items(o, item).alias("items"))
 
     return op
 
 
-def window(size: int, step: int, o: Order, item: Column) -> Op:
+def window(size: int, step: int, o: Order, item: Column, hot_rows: int | None = None) -> Op:
     """Count windows of ``size`` rows every ``step`` rows: (keys..., window, items). Full windows, then one shorter window if
     anything is left in the buffer at the end - the overlap kept from the last full window counts as left. ``step`` > ``size`` skips rows."""
     positive("size", size)
     positive("step", step)
 
     def op(df: DataFrame) -> DataFrame:
-        rows = ordinal(stop_at_first(df, o, keep_error=False), o)
+        rows = ordinal(stop_at_first(df, o, keep_error=False), o, hot_rows=hot_rows)
         keys = [col(k) for k in o.keys]
         total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if o.keys else None
         first = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("_i") - size + 1) / step))

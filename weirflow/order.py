@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -35,26 +36,41 @@ def order(*by: str, keys: Sequence[str] = ()) -> Order:
     return Order(tuple(by), tuple(keys))
 
 
-def ordinal(df: DataFrame, o: Order, name: str = "_i") -> DataFrame:
+def ordinal(df: DataFrame, o: Order, name: str = "_i", hot_rows: int | None = None) -> DataFrame:
     """``df`` with each row's place (from 0) in its stream. A frame that already has it, from an earlier operator of the same
     order, is returned as it is: each ordinal costs a sort.
 
-    Streams by key take one window. The one stream of an order without keys is not pulled into one task: rows are range
-    partitioned and sorted, counted per partition, and shifted by the counts before theirs (one number per partition on the driver).
+    Streams by key take one window, in which a key is sorted by one task. With ``hot_rows``, keys of more rows than that are
+    found first (an aggregate over the keys alone) and numbered over many tasks. The one stream of an order without keys always is.
     """
     if name in df.columns:
         return df
-    if o.keys:
-        return df.withColumn(name, F.row_number().over(o.window()) - 1)
-    by = [col(c) for c in o.by]
+    if not o.keys:
+        return _spread(df, o, name)
+    place = F.row_number().over(o.window()) - 1
+    if hot_rows is None:
+        return df.withColumn(name, place.cast("bigint"))
+    hot = cut(df.groupBy(*[col(k).alias(f"__h{i}") for i, k in enumerate(o.keys)]).agg(F.count(F.lit(1)).alias("__n")).where(f"__n > {hot_rows}").drop("__n"))
+    if hot.isEmpty():
+        return df.withColumn(name, place.cast("bigint"))
+    # at most rows / hot_rows keys are hot, so their table is small whatever the data
+    same = functools.reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(o.keys)])
+    cold = df.join(F.broadcast(hot), same, "left_anti").withColumn(name, place.cast("bigint"))
+    return cold.unionByName(_spread(df.join(F.broadcast(hot), same, "left_semi"), o, name))
+
+
+def _spread(df: DataFrame, o: Order, name: str) -> DataFrame:
+    """Ordinals by range partitions: rows are sorted by (keys, order) over many tasks, each key's rows are counted per partition and
+    shifted by the counts of the partitions before. There are as many counts as keys and partitions together; they are joined, not collected."""
+    keys = [col(k) for k in o.keys]
+    by = [*keys, *[col(c) for c in o.by]]
     placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__m", F.monotonically_increasing_id()))
     part = F.call_function("shiftright", F.col("__m"), F.lit(33))
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(total)
-        total += counts.get(p, 0)
-    if not offsets:
-        return placed.withColumn(name, F.lit(0).cast("bigint")).drop("__m")
-    offset = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in offsets]), part.cast("int") + 1)
-    return placed.withColumn(name, F.col("__m") - F.call_function("shiftleft", part, F.lit(33)) + offset).drop("__m")
+    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
+    runs = placed.groupBy(part.alias("__p"), *named).agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    up = Window.partitionBy(*[F.col(f"__k{i}") for i in range(len(keys))]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__n").over(up), F.lit(0))).drop("__n")
+    on = part == F.col("__p")
+    for i, k in enumerate(keys):
+        on = on & k.eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(F.broadcast(runs), on).withColumn(name, F.col("__m") - F.col("__first") + F.col("__before")).select(*df.columns, name)
