@@ -173,3 +173,22 @@ def test_near_pairs_and_likeness(spark):
     got = {(r["a"], r["b"]) for r in found.collect()}
     want = {(a, b) for a in range(30) for b in range(30, 60) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got <= want and len(got) >= 0.85 * len(want)
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+
+    rnd = random.Random(1)
+    for text in ("{{ x }};" * 50_000 + "{", "word " * 400_000, "a" * 1_000_000, "`{{ x }}` " * 50_000, "<" * 300_000, "```\n" * 50_000, "404 not found " * 50_000 + "river stone " * 200_000, " ".join(rnd.choice(WORDS) for _ in range(300_000))):
+        began = time.time()
+        has_slot(text)
+        has_residue_body(text)
+        residue.simhash(residue.shingle_hashes(text.lower().split(), {}))
+        leak.words(text)
+        assert time.time() - began < 20
+    p = passage(rnd, 60)
+    index = leak.Index([(1, " ".join(p))])
+    found = leak._search(index, 0.42)([" ".join(p * 2000), " ".join(rnd.choice(WORDS) for _ in range(100_000)) + " " + " ".join(p)])
+    assert [f[:2] for f in found] == [(0, 1), (1, 1)]
+    enc = packing.tokenizer(f"{packing.TOKENIZERS}/{packing.TOKENIZER}")
+    assert len(enc.encode_ordinary("a" * 200_000)) > 1000

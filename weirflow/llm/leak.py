@@ -38,7 +38,7 @@ STRETCH = 6
 ITEM_WORDS = 2_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-_HIDDEN = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+_HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _WORD = re.compile(r"[^\W_]+")
 
 

@@ -55,18 +55,25 @@ _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|^[ \t]*>[^\n]*", re.M)
 _DISCUSSED = re.compile(r"(?i)\b(?:such as|leftovers?|placeholders?|templates?|linter|renderer|is undefined (?:in|for|by|when|behaviou?r)|undefined behaviou?r)\b")
 _CODE_LINE = re.compile(r"^\s*(?:func|package|import|return|if|for|var|const|type|def|class|let|use|log\.|fmt\.|//|/\*|\*/|\}|export |echo )|[{};]\s*$|:=")
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?=\S)[^.!?\n]*)*[.!?]*")
+
+
+#: Characters of a line that are looked at on either side of a slot.
+CONTEXT = 500
 
 
 def has_slot(text: str) -> bool:
+    """Whether running text holds a slot that was left unfilled. The whole text is searched."""
     if not _MAY.search(text):
         return False
     if "```" in text or "~~~" in text:
         text = _FENCE.sub(" ", text)
     text = _SHOWN.sub('""', text)
     for m in SLOT.finditer(text):
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        line = text[a : b if b >= 0 else len(text)]
+        # its line, of a very long one the part around it
+        low, high = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+        a, b = text.rfind("\n", low, m.start()), text.find("\n", m.end(), high)
+        a = a + 1 if a >= 0 else low
+        line = text[a : b if b >= 0 else high]
         if _CODE_LINE.search(line) and not m[0].startswith(("{{", "<no", "%!", "<%", "__", "[object")):
             continue
         # the sentence around the slot
