@@ -41,9 +41,15 @@ def prometheus(counted: DataFrame, name: str = "events_total") -> DataFrame:
     return body.unionByName(over).select(F.row_number().over(Window.orderBy("o", "a", "k")).cast("bigint").alias("line_no"), "line")
 
 
+def utc_text(t: Column) -> Column:
+    """RFC 3339 text of a timestamp without zone, taken as UTC. (``date_format`` would read it in the session's zone.)"""
+    two = lambda unit: F.lpad(F.extract(F.lit(unit), t).cast("string"), 2, "0")
+    return F.concat(F.to_date(t).cast("string"), F.lit("T"), two("HOUR"), F.lit(":"), two("MINUTE"), F.lit(":"), F.lpad(F.extract(F.lit("SECOND"), t).cast("decimal(8,6)").cast("string"), 9, "0"), F.lit("Z"))
+
+
 def json_lines(events: DataFrame, plain: list[str], payloads: list[str] = (), secrets: list[str] = (), time: str | None = None) -> DataFrame:
     """One JSON text per event: ``payloads`` only by type name, ``secrets`` redacted, the time in UTC."""
-    fields = [F.date_format(col(time).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias(time)] if time else []
+    fields = [utc_text(col(time).cast("timestamp_ntz")).alias(time)] if time else []
     fields += [col(c) for c in plain] + [F.when(col(c).isNotNull(), F.lit(events.schema[c].dataType.simpleString())).alias(c) for c in payloads]
     fields += [F.when(F.coalesce(col(c).cast("string"), F.lit("")) != "", F.lit("[redacted]")).alias(c) for c in secrets]
     return events.select(F.to_json(F.struct(*fields)).alias("line"))

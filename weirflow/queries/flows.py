@@ -100,7 +100,7 @@ def dedup_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def idempotency_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as calls keyed by user and day, the type as payload."""
-    key = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    key = F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string"))
     return stateful.classify_claims(key, F.col("event_type"), WHOLE)(events(spark, sf_dir)).select("event_id", "claim")
 
 
