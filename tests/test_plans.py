@@ -172,3 +172,17 @@ def test_sinks_and_logs(spark):
     kinds = spark.createDataFrame([("Timeout",), ("NotFound",), ("Internal",), (None,)], "k string")
     assert [tuple(r) for r in kinds.select(is_transient(F.col("k")), is_permanent(F.col("k"))).collect()] == [(True, False), (False, True), (False, False), (False, False)]
     assert require(kinds, F.col("k") == "Timeout", "Validation", "m").where("_error is null").count() == 1
+
+
+def test_context(spark):
+    from weirflow import context as x
+
+    df = spark.createDataFrame([("u", "t", ["admin"], ["read"]), (None, "", None, ["*"])], "u string, t string, r array<string>, p array<string>")
+    c = x.context({"user_id": F.col("u"), "tenant_id": F.col("t"), "roles": F.col("r"), "permissions": F.col("p")})
+    got = df.withColumn("c", c).select(*[f.alias(n) for n, f in {"a": x.authenticated(F.col("c")), "t": x.of_tenant(F.col("c")), "r": x.has_role(F.col("c"), "admin", "x"), "m": x.may(F.col("c"), "write"), "s": F.length(x.scope(F.col("c")))}.items()]).collect()
+    assert [tuple(r) for r in got] == [(True, True, True, False, 64), (False, False, False, True, 64)]
+    assert df.select(c.alias("c")).schema["c"].dataType.simpleString().startswith("struct<request_id:string")
+    with pytest.raises(ValueError):
+        x.context({"nobody": F.col("u")})
+    x.session_values(spark, {"release": "7"})
+    assert x.with_session_values(df, "release").first()["release"] == "7"
