@@ -49,7 +49,7 @@ def hierarchy(edges: DataFrame, *, with_paths: bool = True, hot_rows: int = 200_
         right = reached.select("at", "root", "depth", "path", F.lit(None).cast("string").alias("next"), F.lit(None).cast("array<string>").alias("next_seg")).unionByName(
             links_.select("at", F.lit(None).cast("string").alias("root"), F.lit(None).cast("bigint").alias("depth"), F.lit(None).cast("array<string>").alias("path"), "next", "next_seg")
         )
-        step = cut(join_to_unique(todo, right, "jump", "at", hot_rows=hot_rows))
+        step = cut(join_to_unique(todo, right, "jump", "at", hot_rows=hot_rows, rows=left))
         done.append(step.where("root is not null").select("node", "root", (F.col("depth") + span).alias("depth"), seg(F.col("path"), F.col("seg")).alias("path")))
         todo = step.where("root is null").select("node", F.col("next").alias("jump"), seg(F.col("next_seg"), F.col("seg")).alias("seg"))
         before, left, span = left, todo.count(), span * 2
