@@ -46,6 +46,11 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.groupBy("level", "action", "kind").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("permille") == q, F.col("value"))).alias(f"p{q}_ns") for q in PERMILLE])
 
 
+def p4_daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of each day, to be combined later."""
+    return duration_states(spark, sf_dir)
+
+
 def p4_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same per month and action: another combination of the same daily states."""
     d = duration_states(spark, sf_dir).where("day is not null and action is not null").withColumn("month", F.date_format("day", "yyyy-MM"))
@@ -73,7 +78,7 @@ def p6_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimated(merge_sketches(daily.withColumn("week", F.trunc("day", "week")), ["week", "tenant_id", "field"])).drop("sketch")
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_by_month, p6_distinct, p6_weeks)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily_states, p4_by_month, p6_distinct, p6_weeks)}
 
 _NS = f"(select *, coalesce(duration_ns, {GO_DURATION_SQL.replace('(d)', '(duration)')}) as ns from {RECORDS_SQL})"
 _BINS = f"""vals as (select *, case when ns >= 0 then ns else -(ns + 1) end as mag from {_NS} where ns is not null),
@@ -88,6 +93,7 @@ lv as (select 'action' as level, action, null as kind, b from bins where action
  union all select 'action+kind', action, kind, b from bins where action is not null and kind is not null),
 r as (select *, row_number() over (partition by level, action, kind order by b) rn, count(*) over (partition by level, action, kind) n from lv)
 select level, action, kind, any_value(n) as n, {_PICKS} from r group by 1, 2, 3""",
+    "p4_daily_states": f"with {_BINS} select cast(time as date) as day, action, kind, b as bin, count(*) as n from bins group by 1, 2, 3, 4",
     "p4_by_month": f"""with {_BINS},
 r as (select strftime(time, '%Y-%m') as month, action, b, row_number() over (partition by strftime(time, '%Y-%m'), action order by b) rn, count(*) over (partition by strftime(time, '%Y-%m'), action) n from bins where time is not null and action is not null)
 select month, action, any_value(n) as n, {_PICKS} from r group by 1, 2""",
