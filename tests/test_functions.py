@@ -76,3 +76,33 @@ def test_hashes_and_keys(spark):
     assert one(spark, s.scope_hash([F.lit("t")], [F.array(F.lit("b"), F.lit("a"))])) == one(spark, s.scope_hash([F.lit("t")], [F.array(F.lit("a"), F.lit("b"), F.lit("a"))]))
     assert [one(spark, s.power_of_two_ceiling(F.lit(x))) for x in (0, 1, 3, 1024, 1025)] == [1, 1, 4, 1024, 2048]
     assert one(spark, s.label_escaped(F.lit('a\\b"c\nd'))) == 'a\\\\b\\"c\\nd'
+
+
+def test_durations_against_a_parser(spark):
+    """Random duration texts against a parser on whole numbers."""
+    import random
+    import re
+    from fractions import Fraction
+
+    units = {"ns": 1, "us": 10**3, "µs": 10**3, "μs": 10**3, "ms": 10**6, "s": 10**9, "m": 60 * 10**9, "h": 3600 * 10**9}
+
+    def parse(t):
+        t = t.strip(" \t\r\n\f\v ")
+        sign, body = (-1, t[1:]) if t[:1] == "-" else (1, t[1:] if t[:1] == "+" else t)
+        if body == "0":
+            return 0
+        parts = re.findall(r"(\d+\.?\d*|\.\d+)(ns|us|µs|μs|ms|s|m|h)", body)
+        if not parts or "".join(a + b for a, b in parts) != body:
+            return None
+        n = 0
+        for a, b in parts:
+            whole, _, rest = a.partition(".")
+            n += int(whole or 0) * units[b] + int(Fraction(int((rest[:17] or "0")), 10 ** len(rest[:17] or "0")) * units[b])
+        n *= sign
+        return n if -(2**63) <= n < 2**63 else None
+
+    rnd = random.Random(12)
+    number = lambda: rnd.choice(["%d", "%d.", ".%d", "%d.5", "0%d", "%d.000000001"]) % rnd.randrange(10 ** rnd.randrange(1, 12))
+    texts = [rnd.choice(["", "-", "+", " ", "--"]) + "".join(number() + rnd.choice([*units, "", "x", " s"]) for _ in range(rnd.randrange(4))) + rnd.choice(["", " ", "\n"]) for _ in range(3000)]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string").orderBy("i").select(go_duration_ns(F.col("d"))).collect()]
+    assert [(t, g) for t, g in zip(texts, got) if g != parse(t)] == []
