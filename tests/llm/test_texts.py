@@ -169,8 +169,10 @@ def test_near_pairs_and_likeness(spark):
     sets = [set(residue.shingle_hashes(t.split(), {}).tolist()) for t in texts]
     nodes = spark.createDataFrame([(i, *residue.simhash(residue.shingle_hashes(t.split(), {})), 146) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, shingles int")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    found = residue.alike(residue.near_pairs(nodes.where("rep < 30"), nodes.where("rep >= 30")), docs)
-    got = {(r["a"], r["b"]) for r in found.collect()}
+    pairs = residue.near_pairs(nodes.where("rep < 30"), nodes.where("rep >= 30"))
+    got = {(r["a"], r["b"]) for r in residue.alike(pairs, docs).collect()}
+    for nearest in (0, 1, 16):
+        assert {r["hit"] for r in residue.linked(pairs, docs, nearest).collect()} == {a for a, _ in got}
     want = {(a, b) for a in range(30) for b in range(30, 60) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert got <= want and len(got) >= 0.85 * len(want)
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.skew import join_to_unique
@@ -35,6 +35,8 @@ HAMMING = 18
 BLOCKS = 8
 #: Ids of texts to compare up to which they are broadcast to the scan of the documents (8 bytes each); beyond, the scan is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Candidates of a node that are compared first, the nearest in Hamming distance; the others only if none of these is a link.
+NEAREST = 16
 _MEMO = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -106,11 +108,13 @@ def tables(nodes: DataFrame) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (rep, sig, turned, shingles) of either side that share a bucket and are close in Hamming distance and size."""
+    """Pairs (a, b, far) of nodes (rep, sig, turned, shingles) of either side that share a bucket and are close in Hamming distance
+    (``far``) and size."""
     l = tables(left).select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("shingles").alias("na"), "bucket")
     r = tables(right).select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("shingles").alias("nb"), F.col("bucket").alias("bucket_"))
-    near = (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= HAMMING) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
-    return l.join(r, (F.col("bucket") == F.col("bucket_")) & near).select("a", "b").distinct()
+    far = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
+    near = (far <= HAMMING) & (F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb"))
+    return l.join(r, (F.col("bucket") == F.col("bucket_")) & near).select("a", "b", far.alias("far")).distinct()
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,6 +135,16 @@ def alike(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     return j.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def linked(pairs: DataFrame, docs: DataFrame, nearest: int | None = None) -> DataFrame:
+    """(hit): the nodes a of candidate pairs (a, b, far) that have a link. One link is enough, so the nearest candidates are
+    compared first; nodes without one among them are compared with all others, so none is missed."""
+    nearest = NEAREST if nearest is None else nearest
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))
+    first = cut(alike(pairs.withColumn("r", rank).where(f"r <= {nearest}").select("a", "b"), docs).select(F.col("a").alias("hit")).distinct())
+    more = cut(pairs.withColumn("r", rank).where(f"r > {nearest}").join(first, F.col("a") == F.col("hit"), "left_anti").select("a", "b"))
+    return first if more.isEmpty() else first.unionByName(alike(more, docs).select(F.col("a").alias("hit")).distinct())
+
+
 def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, reason) of the documents that are residue: ``slot`` - running text with an unfilled slot or a bare stand-in,
     ``body`` - nothing but filler, an error page or a notice about scripts, ``near`` - near-duplicate of such a body, directly or by way of others.
@@ -150,7 +164,7 @@ def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
         pairs = cut(near_pairs(rest, grown))
         if pairs.isEmpty():
             break
-        hit = alike(pairs, rows).select(F.col("a").alias("hit")).distinct()
+        hit = linked(pairs, rows)
         grown = cut(rest.join(hit, F.col("rep") == F.col("hit"), "left_semi"))
         if grown.isEmpty():
             break
