@@ -228,7 +228,7 @@ SQL |= {
     "adaptive_breaker": fold_sql(
         f"'closed' as state, case when {_GOOD} then 0 else 1 end as f, cast(0 as bigint) as at_, 'allowed' as d",
         f"case when {_WAIT} or {_OPENS} then 'open' else 'closed' end, {_FAILS}, case when {_OPENS} then e.t else r.at_ end, case when {_WAIT} then 'rejected' else 'allowed' end",
-        "select user_id, max(1000000007 * (1 + f // 10) + cast(100000000 * (f % 10) + 7 * (f % 10) // 10 as bigint)) as longest, count(*) filter (where d = 'rejected') as rejected from r group by 1",
+        "select user_id, max(1000000007::bigint * (1 + f // 10) + cast(100000000 * (f % 10) + 7 * (f % 10) // 10 as bigint)) as longest, count(*) filter (where d = 'rejected') as rejected from r group by 1",
     ),
     "named_pipeline": "select user_id, event_id from events where value * 100 >= 12000 qualify row_number() over (partition by user_id order by ts, event_id) = 1",
     "dag_resumed": "select cast(sum(o_orderkey) as bigint) as total from orders where o_orderstatus = 'F'",
