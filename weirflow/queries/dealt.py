@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import clean_id, go_duration_ns
@@ -20,6 +20,11 @@ RECORD = {"ids": EVENT_IDS, "texts": EVENT_TEXTS, "others": EVENT_OTHERS}
 SESSION_GAP_US = 30 * 60 * 1_000_000
 
 
+def event_duration() -> Column:
+    """Nanoseconds of a row of action_events, from whichever of its two columns has a value."""
+    return F.coalesce(F.col("duration_ns"), go_duration_ns(F.col("duration")))
+
+
 def p1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_table(table(spark, sf_dir, "action_events"), "tenant_id", "kind", "time", "attempt", **RECORD).withColumnRenamed("entity", "tenant_id")
 

@@ -19,7 +19,7 @@ from ..plans.hooks import inspected
 from ..plans.policy import Journal
 from ..plans.stage import Registry, distinct_stage, filter_stage
 from ..session import ensure_checkpoint_dir, table
-from .dealt import sql_id
+from .dealt import event_duration, sql_id
 from .streams import BY_USER, HOUR, events, fold_sql
 
 
@@ -41,13 +41,14 @@ def history_per_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slow_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return observe.slow(table(spark, sf_dir, "action_events"), "duration_ns", 1_000_000_000).groupBy(clean_id(F.col("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("duration_ns").alias("slowest"))
+    e = table(spark, sf_dir, "action_events").select("kind", event_duration().alias("duration_ns"))
+    return observe.slow(e, "duration_ns", 1_000_000_000).groupBy(clean_id(F.col("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("duration_ns").alias("slowest"))
 
 
 def over_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls that took longer than their action may, per action (an inner join to the catalogue)."""
     cat = table(spark, sf_dir, "action_catalog").select(clean_id(F.col("name")).alias("action"), "timeout_ns").where("timeout_ns > 0")
-    e = table(spark, sf_dir, "action_events").select(clean_id(F.col("action")).alias("action"), "duration_ns")
+    e = table(spark, sf_dir, "action_events").select(clean_id(F.col("action")).alias("action"), event_duration().alias("duration_ns"))
     out = errors.require(e.join(cat, "action"), F.col("duration_ns").isNull() | (F.col("duration_ns") <= F.col("timeout_ns")), "Timeout", "deadline exceeded")
     return out.groupBy("action").agg(F.count("_error").alias("late"), F.count(F.lit(1)).alias("calls"))
 

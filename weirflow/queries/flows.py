@@ -14,7 +14,7 @@ from ..operators.feature_table import distinct_records
 from ..order import order, ordinal
 from ..plans.graph import Builder, layer_table, output
 from ..session import table
-from .dealt import RECORD, RECORDS_SQL, sql_id
+from .dealt import RECORD, RECORDS_SQL, event_duration, sql_id
 from .streams import BY_USER, HOUR, WHOLE, events, fold_sql
 
 CENTS = "cast(round(value * 100) as bigint)"
@@ -89,7 +89,7 @@ def fan_out_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def race_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each request's records, the quickest success; else the quickest failure."""
-    rec = table(spark, sf_dir, "action_events").select(clean_id(F.col("request_id")).alias("request_id"), clean_id(F.col("kind")).alias("kind"), F.col("duration_ns").alias("d")).where("request_id is not null and d is not null")
+    rec = table(spark, sf_dir, "action_events").select(clean_id(F.col("request_id")).alias("request_id"), clean_id(F.col("kind")).alias("kind"), event_duration().alias("d")).where("request_id is not null and d is not null")
     return k.race(rec.withColumn("ok", F.col("kind") == "success"), ["request_id"], "kind", "d", "ok")
 
 
@@ -194,7 +194,7 @@ def topic_cursor_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "action_events").where("time is not null and duration_ns between 0 and 86400000000000").select(clean_id(F.col("action")).alias("action"), micros(F.col("time")).alias("a"), (micros(F.col("time")) + F.floor(F.col("duration_ns") / 1000) + 1).alias("b"))
+    e = table(spark, sf_dir, "action_events").withColumn("duration_ns", event_duration()).where("time is not null and duration_ns between 0 and 86400000000000").select(clean_id(F.col("action")).alias("action"), micros(F.col("time")).alias("a"), (micros(F.col("time")) + F.floor(F.col("duration_ns") / 1000) + 1).alias("b"))
     return observe.intervals_in_flight(e, "a", "b", ["action"])
 
 

@@ -9,7 +9,7 @@ from ..functions import coerce as c
 from ..functions import scalars as s
 from ..functions.values import go_duration_ns
 from ..session import table
-from .dealt import GO_DURATION_SQL
+from .dealt import GO_DURATION_SQL, event_duration
 
 #: Texts of all sorts of values, from the data: numbers with blanks, fractions, exponents, booleans, lists.
 _TEXTS = "concat_ws('', case when event_id % 7 = 0 then '  ' else '' end, case event_id % 9 when 0 then 't' when 1 then 'false' when 2 then cast(user_id as string) when 3 then concat('-', user_id) when 4 then concat(user_id, '.5') when 5 then concat(user_id, 'e2') when 6 then 'yes' when 7 then concat(user_id, ',', event_id, ',,x') else cast(event_id * 977 as string) end)"
@@ -97,7 +97,7 @@ def journal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hedged_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time to a result of action_events' durations if a second attempt (the record's half) began after 50 ms."""
-    d = table(spark, sf_dir, "action_events").where("duration_ns is not null and duration_ns between 0 and 1000000000000")
+    d = table(spark, sf_dir, "action_events").withColumn("duration_ns", event_duration()).where("duration_ns is not null and duration_ns between 0 and 1000000000000")
     return d.groupBy(F.lower(F.trim("action")).alias("action")).agg(F.max(s.hedge(F.col("duration_ns"), F.floor(F.col("duration_ns") / 2), 50_000_000)).alias("slowest"))
 
 
