@@ -3,6 +3,8 @@
 import datetime as dt
 
 import __spark_entry__ as entry
+from weirflow.operators import observe
+from weirflow.order import order
 
 T0 = dt.datetime(2024, 1, 1)
 EVENTS = "line_no bigint, time timestamp_ntz, duration string, duration_ns bigint, kind string, action string, request_id string"
@@ -43,3 +45,24 @@ def test_calls_in_flight_counts_durations_given_as_text(spark, tmp_path):
 
 def test_hedged_latency_takes_durations_given_as_text(spark, tmp_path):
     assert run(spark, tmp_path, "hedged_latency", [DURATIONS[0], DURATIONS[1]]) == [("a", 1_050_000_000)]
+
+
+#: More keys than a thousand, the first of them twice; letter case and blanks make no other key.
+MANY_KEYS = [(i, T0, None, None, "Start ", f"a{i:04}", None) for i in range(1, 1201)] + [(1201, T0, None, None, "start", " A0001", None)]
+
+
+def test_metrics_count_keeps_more_than_a_thousand_keys(spark, tmp_path):
+    got = run(spark, tmp_path, "metrics_count", MANY_KEYS)
+    assert got == [(f"a{i:04}", "start", 2 if i == 1 else 1, 0) for i in range(1, 1201)]
+
+
+def test_prometheus_text_writes_more_than_a_thousand_keys(spark, tmp_path):
+    got = run(spark, tmp_path, "prometheus_text", MANY_KEYS)
+    assert len(got) == 1200 and got[0] == (1, 'events_total{action="a0001",kind="start"} 2') and got[-1] == (1200, 'events_total{action="a1200",kind="start"} 1')
+
+
+def test_metrics_overflow(spark):
+    """The keys first seen are kept; later keys and labels that are too long count as overflow."""
+    rows = [(3, "c", "start"), (1, "b", "start"), (2, "a", "start"), (4, "a", "start"), (5, "x" * 129, "start"), (6, "c", "start")]
+    out = observe.metrics(spark.createDataFrame(rows, "line_no int, action string, kind string"), "action", "kind", order("line_no"), max_keys=2)
+    assert {tuple(r) for r in out.collect()} == {("b", "start", 1, 0), ("a", "start", 2, 0), (None, None, 0, 3)}

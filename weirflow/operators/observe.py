@@ -37,7 +37,7 @@ def prometheus(counted: DataFrame, name: str = "events_total") -> DataFrame:
         F.concat(F.lit(name + '{action="'), label_escaped(F.col("action")), F.lit('",kind="'), label_escaped(F.col("kind")), F.lit('"} '), F.col("count").cast("string")).alias("line"), F.col("action").alias("a"), F.col("kind").alias("k"), F.lit(0).alias("o")
     )
     over = counted.where("overflow > 0").select(F.concat(F.lit(name + "_overflow "), F.col("overflow").cast("string")).alias("line"), F.lit("").alias("a"), F.lit("").alias("k"), F.lit(1).alias("o"))
-    # a few thousand lines at most (the metrics sink's limit), so one window is no bottleneck
+    # ten thousand lines and one at most (the metrics sink's limit), so one window is no bottleneck
     return body.unionByName(over).select(F.row_number().over(Window.orderBy("o", "a", "k")).cast("bigint").alias("line_no"), "line")
 
 

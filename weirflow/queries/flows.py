@@ -175,12 +175,12 @@ def resume_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metrics_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "action_events").withColumns({"action": clean_id(F.col("action")), "kind": clean_id(F.col("kind"))})
-    return observe.metrics(e, "action", "kind", order("line_no"), max_keys=1000)
+    return observe.metrics(e, "action", "kind", order("line_no"))
 
 
 def prometheus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "action_events").withColumns({"action": clean_id(F.col("action")), "kind": clean_id(F.col("kind"))})
-    return observe.prometheus(observe.metrics(e, "action", "kind", order("line_no"), max_keys=1000))
+    return observe.prometheus(observe.metrics(e, "action", "kind", order("line_no")))
 
 
 def jsonl_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
