@@ -66,3 +66,31 @@ def test_metrics_overflow(spark):
     rows = [(3, "c", "start"), (1, "b", "start"), (2, "a", "start"), (4, "a", "start"), (5, "x" * 129, "start"), (6, "c", "start")]
     out = observe.metrics(spark.createDataFrame(rows, "line_no int, action string, kind string"), "action", "kind", order("line_no"), max_keys=2)
     assert {tuple(r) for r in out.collect()} == {("b", "start", 1, 0), ("a", "start", 2, 0), (None, None, 0, 3)}
+
+
+LONGEST = 2**63 - 1
+DAY_NS = 86_400_000_000_000
+HOURS = [T0 + dt.timedelta(hours=i) for i in range(100)]
+
+
+def test_calls_in_flight_counts_long_and_negative_durations(spark, tmp_path):
+    rows = [
+        # three overlap on the fourth day, two of them longer than a day
+        (1, HOURS[0], None, 4 * DAY_NS, "success", "long", None), (2, HOURS[1], None, LONGEST, "success", "long", None), (3, HOURS[80], None, 1, "success", "long", None),
+        # a negative duration is in flight at its time only: beside the call it falls into, not beside one an hour later or before
+        (4, HOURS[1], None, -DAY_NS, "success", "back", None), (5, HOURS[0], None, 5_400_000_000_000, "success", "back", None), (6, HOURS[2], None, -LONGEST - 1, "success", "back", None),
+        (7, HOURS[0], None, -5, "success", "alone", None), (8, HOURS[1], None, 0, "success", "alone", None),
+    ]
+    assert run(spark, tmp_path, "calls_in_flight", rows) == [("alone", 1), ("back", 2), ("long", 3)]
+
+
+def test_calls_in_flight_of_the_latest_time(spark, tmp_path):
+    """Ends beyond 64 bits of microseconds."""
+    rows = spark.createDataFrame([("a", None, LONGEST), ("a", None, 0)], "action string, duration string, duration_ns bigint")
+    rows.selectExpr("*", "timestamp_ntz'+294247-01-10 04:00:54.775807' as time").write.parquet(f"{tmp_path}/action_events.parquet")
+    assert [tuple(r) for r in entry.queries()["calls_in_flight"](spark, str(tmp_path)).collect()] == [("a", 2)]
+
+
+def test_hedged_latency_takes_extreme_durations(spark, tmp_path):
+    rows = [(1, T0, None, 5, "success", "a", None), (2, T0, None, LONGEST, "success", "a", None), (3, T0, None, -7, "success", "b", None), (4, T0, None, -9, "success", "b", None), (5, T0, None, 2 * DAY_NS + 3, "success", "c", None)]
+    assert run(spark, tmp_path, "hedged_latency", rows) == [("a", LONGEST // 2 + 50_000_000), ("b", -7), ("c", DAY_NS + 1 + 50_000_000)]

@@ -194,8 +194,10 @@ def topic_cursor_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls_in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "action_events").withColumn("duration_ns", event_duration()).where("time is not null and duration_ns between 0 and 86400000000000").select(clean_id(F.col("action")).alias("action"), micros(F.col("time")).alias("a"), (micros(F.col("time")) + F.floor(F.col("duration_ns") / 1000) + 1).alias("b"))
-    return observe.intervals_in_flight(e, "a", "b", ["action"])
+    """Most calls of each action at once. A call is in flight from its ``time`` for its duration, up to and with the microsecond in
+    which it ends; one of zero or negative duration only in the microsecond of its ``time``. Ends lie beyond 64 bits at the extremes."""
+    e = table(spark, sf_dir, "action_events").select(clean_id(F.col("action")).alias("action"), micros(F.col("time")).cast("decimal(22,0)").alias("a"), event_duration().alias("d")).where("a is not null and d is not null")
+    return observe.intervals_in_flight(e.select("action", "a", F.expr("cast(a + greatest(d, 0) div 1000 + 1 as decimal(22,0))").alias("b")), "a", "b", ["action"])
 
 
 def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
