@@ -94,3 +94,9 @@ def test_calls_in_flight_of_the_latest_time(spark, tmp_path):
 def test_hedged_latency_takes_extreme_durations(spark, tmp_path):
     rows = [(1, T0, None, 5, "success", "a", None), (2, T0, None, LONGEST, "success", "a", None), (3, T0, None, -7, "success", "b", None), (4, T0, None, -9, "success", "b", None), (5, T0, None, 2 * DAY_NS + 3, "success", "c", None)]
     assert run(spark, tmp_path, "hedged_latency", rows) == [("a", LONGEST // 2 + 50_000_000), ("b", -7), ("c", DAY_NS + 1 + 50_000_000)]
+
+
+def test_error_class_count_takes_kinds_in_any_spelling(spark, tmp_path):
+    kinds = ["timeout", "Timeout", " RETRY\t", "Canceled ", "ERROR", "success", " ", None]
+    rows = [(i, T0, None, None, k, "a", None) for i, k in enumerate(kinds)]
+    assert run(spark, tmp_path, "error_class_count", rows) == [("neither", 2), ("permanent", 3), ("transient", 3)]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import error_class
-from ..functions.values import micros
+from ..functions.values import clean_id, micros
 from ..operators import folds, stream
 from ..order import order, ordinal
 from ..plans.stage import compose, distinct_stage, filter_stage, map_stage, take_stage
@@ -150,7 +150,8 @@ def from_rows_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_class_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of action_events by retry class of the kind they would be reported as."""
-    kind = F.when(F.col("kind") == "timeout", "Timeout").when(F.col("kind") == "canceled", "Canceled").when(F.col("kind") == "error", "Internal").when(F.col("kind") == "retry", "Unavailable").otherwise("NotFound")
+    k = clean_id(F.col("kind"))
+    kind = F.when(k == "timeout", "Timeout").when(k == "canceled", "Canceled").when(k == "error", "Internal").when(k == "retry", "Unavailable").otherwise("NotFound")
     return table(spark, sf_dir, "action_events").groupBy(error_class(kind).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
