@@ -3,6 +3,8 @@
 import datetime as dt
 
 import __spark_entry__ as entry
+from weirflow.llm import residue
+from weirflow.llm.residue_rules import has_residue_body, has_slot
 from weirflow.operators import observe
 from weirflow.order import order
 
@@ -100,3 +102,13 @@ def test_error_class_count_takes_kinds_in_any_spelling(spark, tmp_path):
     kinds = ["timeout", "Timeout", " RETRY\t", "Canceled ", "ERROR", "success", " ", None]
     rows = [(i, T0, None, None, k, "a", None) for i, k in enumerate(kinds)]
     assert run(spark, tmp_path, "error_class_count", rows) == [("neither", 2), ("permanent", 3), ("transient", 3)]
+
+
+def test_p9_copies_of_labelled_texts_in_other_lines(spark):
+    """A document without a label of its own has that of a text of the same words."""
+    notice = "Please enable JavaScript to view the app that shows how settlement batches move between regional ledgers"
+    slot = "Hello [insert name here], your report\nfor the templates is attached to this message."
+    wrapped, flat = notice.replace("the app that", "the app\nthat"), slot.replace("\n", " ")
+    assert has_residue_body(notice) and not has_residue_body(wrapped) and has_slot(slot) and not has_slot(flat)
+    df = spark.createDataFrame([(1, notice), (2, wrapped), (3, slot), (4, flat), (5, "The run of the night ended without a fault.")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in residue.residue(df).collect()) == [(1, "body"), (2, "body"), (3, "slot"), (4, "slot")]

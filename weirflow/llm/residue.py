@@ -171,8 +171,9 @@ def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
         near = grown if near is None else near.unionByName(grown)
         rest = cut(rest.join(grown.select(F.col("rep").alias("gone")), F.col("rep") == F.col("gone"), "left_anti"))
     own = all_.where("label is not null").select("doc_id", F.col("label").alias("reason"))
-    if near is None:
-        return own
-    keys = near.select(F.col("key").alias("near_key"))
-    spread = join_to_unique(all_.where("label is null").select("doc_id", "key"), keys, "key", "near_key").where("near_key is not null")
-    return own.unionByName(spread.select("doc_id", F.lit("near").alias("reason")))
+    # documents without a label of their own whose words are those of a labelled text, or of one found near
+    keys = nodes.where("label is not null").select(F.col("key").alias("of"), F.col("label").alias("reason"))
+    if near is not None:
+        keys = keys.unionByName(near.select(F.col("key").alias("of"), F.lit("near").alias("reason")))
+    spread = join_to_unique(all_.where("label is null").select("doc_id", "key"), keys, "key", "of").where("of is not null")
+    return own.unionByName(spread.select("doc_id", "reason"))
