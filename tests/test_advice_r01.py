@@ -112,3 +112,13 @@ def test_p9_copies_of_labelled_texts_in_other_lines(spark):
     assert has_residue_body(notice) and not has_residue_body(wrapped) and has_slot(slot) and not has_slot(flat)
     df = spark.createDataFrame([(1, notice), (2, wrapped), (3, slot), (4, flat), (5, "The run of the night ended without a fault.")], "doc_id bigint, text string")
     assert sorted(tuple(r) for r in residue.residue(df).collect()) == [(1, "body"), (2, "body"), (3, "slot"), (4, "slot")]
+
+
+def test_p9_size_counts_distinct_shingles(spark):
+    """A text that repeats itself and its shorter form: likeness 1."""
+    short = "one two three four five " * 3
+    df = spark.createDataFrame([(1, short), (2, short * 5)], "doc_id bigint, text string")
+    nodes = residue.signed(df).withColumnRenamed("doc_id", "rep")
+    pairs = residue.near_pairs(nodes.where("rep = 1"), nodes.where("rep = 2"))
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 0)]
+    assert [tuple(r) for r in residue.alike(pairs, df).collect()] == [(1, 2)]

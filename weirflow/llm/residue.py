@@ -86,7 +86,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not words:
                 continue
             label = "slot" if has_slot(text) else "body" if has_residue_body(text) else None
-            s = shingle_hashes(words, memo)
+            s = np.unique(shingle_hashes(words, memo))
             rows.append((doc, xxhash.xxh128_hexdigest(" ".join(words)), *simhash(s), len(s), label))
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
         cols = list(zip(*rows)) or [[]] * 6
@@ -94,7 +94,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sig, turned, shingles, label) of documents (doc_id, text) with words."""
+    """(doc_id, key, sig, turned, shingles, label) of documents (doc_id, text) with words; ``shingles``: how many distinct ones."""
     return docs.where("text is not null").mapInArrow(_sign, _SIGNED)
 
 
