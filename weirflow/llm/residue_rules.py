@@ -50,7 +50,7 @@ SLOT = re.compile(
     + ")"
 )
 #: Cheap test that a text may hold a slot at all.
-_MAY = re.compile(r"[{}%«\[]|__|\*\*\*|XXXX|\?\?\?|<|&lt;|\$\(|@@|undefined| here\)")
+_MAY = re.compile(r"[{}%«\[]|__|\*\*\*|XXXX|\?\?\?|<|&lt;|\$\(|@@|undefined| (?i:here)\)")
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|^[ \t]*>[^\n]*", re.M)
 _DISCUSSED = re.compile(r"(?i)\b(?:such as|leftovers?|placeholders?|templates?|linter|renderer|is undefined (?:in|for|by|when|behaviou?r)|undefined behaviou?r)\b")
@@ -147,14 +147,6 @@ def _any(phrases: list[str]) -> str:
 
 
 _BODY = re.compile(rf"(?<!\w)(?:(?P<f>{_any(FURNITURES)})|(?P<r>{_any(NOTICES + FILLERS)}))(?!\w)", re.M)
-#: Every word that residue or furniture is made of: a text with few of them cannot be a residue body.
-_LEXICON = frozenset(re.findall(r"[^\W\d_]+", re.sub(r"\\[a-zA-Z]", " ", " ".join(NOTICES + FILLERS + FURNITURES)).replace("?", " ").replace("Ã", " "))) | frozenset(
-    "404 403 500 502 503 javascript java script scripts scripting js browser client side to run this app view page show the graph refresh continue reload history for site no longer available been "
-    "in your area does not exist has or moved render template on line seconds database upstream server answer from planned maintenance bitte später erneut versuchen revenez plus tard vuelva más "
-    "rendering while body of copy fill space so layout looks complete with own words interesting fehler aufgetreten existiert wurde verschoben n'existe pas ou été déplacée est survenue inesperado "
-    "página solicitada existe se ha movido home docs runs search sign startseite hilfe suche accueil aide recherche inicio ayuda buscar ohne bedeutung für das zu ersetzen inhalt der sans contenu maquette "
-    "pour cette afficher para ver esta diese seite sehen nicht geladen werden mostrar puede ansicht vue peut s'afficher navigateur navegador ihrem ausgeschaltet off turned supports blocks it párrafo contenido su".split()
-)
 #: Words of the customary mock Latin (fixed values).
 LATIN = frozenset(
     "ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore duis ea eiusmod elit enim esse est et eu "
@@ -178,10 +170,9 @@ def has_residue_body(text: str) -> bool:
             return True  # one word over and over
     low = text.lower()
     flat = _TAGS.sub("\n", low) if "<" in low or "&lt;" in low else low
-    # a word of neither residue nor mock Latin is content, but for names within a sentence
-    if sum(map(_KNOWN.__contains__, flat.split())) < 0.35 * total:
-        return False
     flat = _HEADING.sub("", flat)
+    if not _may_be_body(flat):
+        return False
     sizes = {"f": 0, "r": 0}
 
     def count(m: re.Match) -> str:
@@ -198,6 +189,35 @@ def has_residue_body(text: str) -> bool:
     return residue > 0 and content <= max(5, 0.3 * residue)
 
 
+def _may_be_body(flat: str) -> bool:
+    """Cheap test that refuses only texts that the rule refuses: with no sign of a notice or filler only mock Latin is residue, and
+    with no sign of furniture all other words are content."""
+    if any(s in flat for s in _SIGNS) or (("script" in flat or "js" in flat) and _SCRIPT_WORD.search(flat)) or _NUMBERED.search(flat):
+        return True
+    words = _WORDS.findall(flat)
+    latin = sum(map(LATIN.__contains__, words))
+    if not latin:
+        return False
+    return len(words) - latin <= max(5, 0.3 * latin) or any(s in flat for s in _FURNITURE_SIGNS) or _TRACE.search(flat) is not None
+
+
+#: A text that any of NOTICES or FILLERS matches holds one of these, a script's name or a numbered error.
+_SIGNS = (
+    "not found", "nicht gefunden", "no encontrada", "introuvable", "server error", "serverfehler", "erreur interne", "error interno", "bad gateway", "service unavailable", "gateway time",
+    "access denied", "zugriff verweigert", "accès refusé", "acceso denegado", "request blocked", "forbidden", "unauthorized", "have permission", "keine berechtigung", "vous n'avez pas", "vous n’avez pas", "vous navez pas", "no tiene permiso",
+    "oops", "something went wrong", "an unexpected error", "unerwarteter fehler", "erreur inattendue", "ha producido un error", "try again", "too many requests", "zu viele anfragen", "trop de requêtes", "demasiadas solicitudes",
+    "site is down", "site is closed", "re down for", "re closed for", "wartungsarbeiten", "site en maintenance", "sitio en mantenimiento", "the link you followed", "your session", "ihre sitzung", "votre session", "su sesión",
+    "sign in again", "required", "erforderlich", "requise", "sesión requerido", "is not available", "has been removed", "no longer available", "does not exist", "the page you", "angeforderte seite", "page demandée", "página solicitada",
+    "we could not", "we couldn't", "we couldn’t", "received no answer", "fatal error: cannot", "no such ", "sorry, we", "checking your",
+    "lorem ipsum", "will be added", "goes here", "to follow", "content here", "text here", "copy here", "coming soon", "dummy", "filler", "placeholder", "this is sample text", "replace this", "write something", "example heading", "example paragraph", "example text", "example title",
+    "blindtext", "fülltext", "platzhalter", "ersetzen", "hier steht später", "texte à remplacer", "faux texte", "texte de remplissage", "paragraphe d", "votre contenu ici", "texto de ", "sustituya este", "aquí va su",
+)
+_SCRIPT_WORD = re.compile(r"(?<!\w)(?:javascript|script|js)")
+_NUMBERED = re.compile(r"(?:error|erreur|fehler) \d{3}")
+#: The same of FURNITURES, or a line of a stack trace.
+_FURNITURE_SIGNS = (
+    "menu", "menü", "menú", "skip to content", "to start page", "to overview", "to home", "to top", "contact support", "if this keeps", "powered by", "request id", "reference", "error code", "requête", "solicitud", "anfrage", "revision", "retour à l", "zurück zur", "volver al", " | ",
+)
+_TRACE = re.compile(r"(?<!\w)at [\w.]+ ?\(")
 _QUOTED = re.compile(r"^[ \t]*>[^\n]*", re.M)
 _HEX = re.compile(r"[a-f]{1,8}$")
-_KNOWN = frozenset(w + e for w in _LEXICON | LATIN for e in ("", ".", ",", "!", "?", ":", ";"))
