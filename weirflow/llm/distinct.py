@@ -59,7 +59,7 @@ def _trimmed(c: str) -> Column:
 
 def sketch(rows: DataFrame, keys: Sequence[str], value: str, p: int = P) -> DataFrame:
     """(keys..., sketch) of rows that have a value: ``sketch`` is the sorted ``array<int>`` of register * 64 + rank, for each
-    register its highest rank and those of the two below it that were seen (at most 3 * 2^p entries, 8 bits a register when packed)."""
+    register its highest rank and those of the two below it that were seen (at most 3 * 2^p entries of 4 bytes; they are not packed)."""
     seen = rows.where(F.col(value).isNotNull()).select(*keys, code(F.col(value), p).alias("c"))
     return seen.groupBy(*keys).agg(F.collect_set("c").alias("c")).select(*keys, _trimmed("c").alias("sketch"))
 
