@@ -23,7 +23,9 @@ def test_selection_is_exact_over_many_chunks(spark):
     df = frame(spark, groups)
     s = p.merge(p.states(df, ["day", "g"], "v", bits=63), ["g"])
     qs = [0, 500, 900, 990, 1000]
-    got = {(r["g"], r["permille"]): (r["value"], r["n"]) for r in p.multi_select(s, ["g"], qs, chunk=64).collect()}
+    rounds = []
+    got = {(r["g"], r["permille"]): (r["value"], r["n"]) for r in p.multi_select(s, ["g"], qs, chunk=64, rounds=rounds).collect()}
+    assert rounds[0] == len(groups) * len(qs) and len(rounds) > 5  # every rank of every group takes the rounds
     assert got == {(g, q): (want([v for _, v in vs], q), len(vs)) for g, vs in groups.items() for q in qs}
     assert p.multi_select(s.limit(0), ["g"], qs).count() == 0
 
