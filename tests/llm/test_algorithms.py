@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weirflow.llm import distinct as d
@@ -50,17 +51,17 @@ def ids(spark, n, off=0):
 
 
 def sketch_of(spark, df):
-    return list(d.sketch(df.withColumn("k", F.lit(1)), ["k"], "id").first()["sketch"])
+    return bytes(d.sketch(df.withColumn("k", F.lit(1)), ["k"], "id").first()["sketch"])
 
 
 def test_estimates_are_within_the_stated_error(spark):
     errors = []
     for n in (1, 10, 300, 5000, 60000):
         for part in range(4):
-            e = d.ml_estimate([np.array(sketch_of(spark, ids(spark, n, part * 10**6)))])[0]
+            e = d.ml_estimate(pa.array([sketch_of(spark, ids(spark, n, part * 10**6))]))[0]
             errors.append((e - n) / n / d.std_error())
     assert max(map(abs, errors)) < 4 and np.mean(np.square(errors)) < 1.6
-    assert d.ml_estimate([np.array([], int)])[0] == 0 and len(d.ml_estimate([])) == 0
+    assert d.ml_estimate(pa.array([b"", None], pa.binary())).tolist() == [0, 0] and len(d.ml_estimate(pa.array([], pa.binary()))) == 0
 
 
 def test_merging_is_lossless(spark):
@@ -69,12 +70,23 @@ def test_merging_is_lossless(spark):
     by_day = d.sketch(df, ["day"], "id").withColumn("k", F.lit(1))
     merged = d.merge_sketches(by_day, ["k"])
     again = d.merge_sketches(by_day.unionByName(by_day), ["k"])
-    one = list(whole.first()["sketch"])
-    assert list(merged.first()["sketch"]) == one == list(again.first()["sketch"])
-    regs = {}
-    for c in one:
-        regs.setdefault(c >> 6, []).append(c & 63)
-    assert len(regs) <= 1 << d.P and all(max(r) - min(r) <= 2 for r in regs.values())
+    one = bytes(whole.first()["sketch"])
+    assert bytes(merged.first()["sketch"]) == one == bytes(again.first()["sketch"])
+    assert len(one) == 1 << d.P
+
+
+def test_packing_of_registers():
+    rnd = random.Random(3)
+    for n in (0, 1, 5, 600, 681, 683, 5000, 80000):
+        codes = {rnd.randrange(1 << d.P) * 64 + min(53, 1 + int(-np.log2(1 - rnd.random()))) for _ in range(n)}
+        got = d._pack(2, *d._bytes_of(np.ones(len(codes), int), np.array(sorted(codes), int)), d.P)
+        assert got[0] == b"" and len(got[1]) <= 1 << d.P
+        row, reg, byte = d.unpack(pa.array(got))
+        back = {int(c) for c in d._codes_of(row, reg, byte)[1]}
+        top = {}
+        for c in codes:
+            top[c >> 6] = max(top.get(c >> 6, 0), c & 63)
+        assert set(row.tolist()) <= {1} and back == {c for c in codes if top[c >> 6] - (c & 63) <= 2}
 
 
 def test_rollup_levels_and_missing_values(spark):

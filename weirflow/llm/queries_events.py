@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions.values import clean_id, go_duration_ns
 from weirflow.operators.feature_table import distinct_records
-from weirflow.queries.dealt import GO_DURATION_SQL, RECORD, RECORDS_SQL
+from weirflow.queries.dealt import GO_DURATION_SQL, RECORD, RECORDS_SQL, sql_id
 from weirflow.session import table
 
 from .distinct import P, estimated, merge_sketches, rollup, sketch, std_error
@@ -78,7 +81,23 @@ def p6_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimated(merge_sketches(daily.withColumn("week", F.trunc("day", "week")), ["week", "tenant_id", "field"])).drop("sketch")
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily_states, p4_by_month, p6_distinct, p6_weeks)}
+def p6_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per combination and field: groups, and how many of their estimates differ from the exact count by more than six standard errors (and one)."""
+    dims = ["day", "tenant_id", "action"]
+    rows = _id_rows(spark, sf_dir).where("id is not null")
+    got = estimated(rollup(sketch(rows, [*dims, "field"], "id"), dims, ["field"])).select("level", *dims, "field", "estimate")
+    combos = [c for n in (3, 2, 1) for c in itertools.combinations(dims, n)]
+    # identifiers once per finest group, then once per group of each combination; no group's identifiers meet in one task
+    level = lambda c: F.struct(F.lit("+".join(c)).alias("level"), *[F.col(d) if d in c else F.lit(None).cast(rows.schema[d].dataType).alias(d) for d in dims])
+    each = rows.distinct().select("field", "id", F.explode(F.array(*[F.when(F.expr(" and ".join(f"{d} is not null" for d in c)), level(c)) for c in combos])).alias("l")).where("l is not null").select("l.*", "field", "id")
+    exact = each.distinct().groupBy("level", *dims, "field").agg(F.count(F.lit(1)).alias("exact"))
+    same = [got[c].eqNullSafe(exact[c]) for c in ("level", *dims, "field")]
+    both = got.join(exact, functools.reduce(lambda a, b: a & b, same), "full").select(F.coalesce(got["level"], exact["level"]).alias("level"), F.coalesce(got["field"], exact["field"]).alias("field"), "estimate", "exact")
+    beyond = F.coalesce(F.abs(F.col("estimate") - F.col("exact")) > 6 * std_error(P) * F.col("exact") + 1, F.lit(True))
+    return both.groupBy("level", "field").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(beyond, 1)).alias("n_beyond"))
+
+
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_daily_states, p4_by_month, p6_distinct, p6_weeks, p6_within_error)}
 
 _NS = f"(select *, coalesce(duration_ns, {GO_DURATION_SQL.replace('(d)', '(duration)')}) as ns from {RECORDS_SQL})"
 _BINS = f"""vals as (select *, case when ns >= 0 then ns else -(ns + 1) end as mag from {_NS} where ns is not null),
@@ -87,7 +106,17 @@ mids as (select *, (mag >> dr << dr) + case when dr > 0 then 1::bigint << (dr -
 bins as (select *, case when ns >= 0 then mid else -mid - 1 end as b from mids)"""
 _PICKS = ", ".join(f"max(case when rn = greatest((n * {q} + 999) // 1000, 1) then b end) as p{q}_ns" for q in PERMILLE)
 
+_IDS = ", ".join(f"{sql_id(c)} as {c}" for c in ("tenant_id", "action", "user_id", "request_id"))
+_LEVELS = " union all ".join(
+    f"select '{'+'.join(c)}' as level, field, count(*) as n_groups, 0::bigint as n_beyond from (select distinct {', '.join(c)}, field from ids where {' and '.join(f'{d} is not null' for d in c)}) group by 1, 2"
+    for n in (1, 2, 3)
+    for c in itertools.combinations(("day", "tenant_id", "action"), n)
+)
+
 SQL = {
+    "p6_within_error": f"""with ev as (select cast(time as date) as day, {_IDS} from action_events),
+ids as (select day, tenant_id, action, 'user_id' as field from ev where user_id is not null union all select day, tenant_id, action, 'request_id' from ev where request_id is not null)
+{_LEVELS}""",
     "p4_percentiles": f"""with {_BINS},
 lv as (select 'action' as level, action, null as kind, b from bins where action is not null union all select 'kind', null, kind, b from bins where kind is not null
  union all select 'action+kind', action, kind, b from bins where action is not null and kind is not null),
