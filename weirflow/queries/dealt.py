@@ -100,6 +100,9 @@ GO_DURATION_SQL = r"""case when regexp_full_match(trim(d), '[+-]?0') then 0
  (case when trim(d) like '-%' then -1 else 1 end) * cast(list_sum(list_transform(regexp_extract_all(trim(d), '([0-9]+(?:[.][0-9]*)?|[.][0-9]+)(?:ns|us|µs|μs|ms|s|m|h)'),
   lambda x: floor(cast(regexp_replace(x, '[^0-9.]', '', 'g') as decimal(28,9)) * case regexp_replace(x, '[0-9.]', '', 'g') when 'ns' then 1 when 'us' then 1000 when 'µs' then 1000 when 'μs' then 1000 when 'ms' then 1000000 when 's' then 1000000000 when 'm' then 60000000000 else 3600000000000 end))) as bigint) end"""
 
+#: Nanoseconds of a row of action_events.
+DURATION_SQL = f"coalesce(duration_ns, {GO_DURATION_SQL.replace('(d)', '(duration)')})"
+
 _KEYS = f"(select 'tenant_id' as key_field, {sql_id('tenant_id')} as key_value, * from action_events union all select 'action', {sql_id('action')}, * from action_events)"
 
 _P1 = f"""select * from (pivot (with recs as {RECORDS_SQL},

@@ -19,7 +19,7 @@ from ..plans.hooks import inspected
 from ..plans.policy import Journal
 from ..plans.stage import Registry, distinct_stage, filter_stage
 from ..session import ensure_checkpoint_dir, table
-from .dealt import event_duration, sql_id
+from .dealt import DURATION_SQL, event_duration, sql_id
 from .streams import BY_USER, HOUR, events, fold_sql
 
 
@@ -118,8 +118,8 @@ SQL = {
  from (select event_id, t, try_cast(case when regexp_full_match(trim(t), '[+-]?[0-9]+') then trim(t) end as hugeint) as v from (select event_id, json_extract_string(props, '$.k') as t from events))""",
     "text_of_headers": "select p_partkey, case when p_partkey % 2 = 0 then p_brand else p_name end as text from part",
     "history_per_action": f"select {_ACTION} as action, line_no, coalesce(length(trim(error)) > 0, false) as failed from action_events qualify row_number() over (partition by {_ACTION} order by line_no desc) <= 3",
-    "slow_calls": f"select {sql_id('kind')} as kind, count(*) as n, max(duration_ns) as slowest from action_events where duration_ns > 1000000000 group by 1",
-    "over_timeout": f"select e.action, count(*) filter (where duration_ns > timeout_ns) as late, count(*) as calls from (select {_ACTION} as action, duration_ns from action_events) e join (select {sql_id('name')} as action, timeout_ns from action_catalog where timeout_ns > 0) c on e.action = c.action group by 1",
+    "slow_calls": f"select {sql_id('kind')} as kind, count(*) as n, max({DURATION_SQL}) as slowest from action_events where {DURATION_SQL} > 1000000000 group by 1",
+    "over_timeout": f"select e.action, count(*) filter (where duration_ns > timeout_ns) as late, count(*) as calls from (select {_ACTION} as action, {DURATION_SQL} as duration_ns from action_events) e join (select {sql_id('name')} as action, timeout_ns from action_catalog where timeout_ns > 0) c on e.action = c.action group by 1",
     "coalesced_calls": f"select cast(length(coalesce({_ACTION}, '')) + length(coalesce(trim(request_type), '')) as integer) as weight, count(*) as n from action_events group by 1",
     "topic_publish": "select row_number() over (order by s_name) + (select max(n_nationkey) + 1 from nation) as seq, s_name as payload from supplier",
     "ring_push": "select cast(n_nationkey as bigint) as seq, n_name as payload from nation union all (select s_suppkey + 100, s_name from supplier order by s_suppkey limit (select greatest(0, 32 - count(*)) from nation))",

@@ -14,7 +14,7 @@ from ..operators.feature_table import distinct_records
 from ..order import order, ordinal
 from ..plans.graph import Builder, layer_table, output
 from ..session import table
-from .dealt import RECORD, RECORDS_SQL, event_duration, sql_id
+from .dealt import DURATION_SQL, RECORD, RECORDS_SQL, event_duration, sql_id
 from .streams import BY_USER, HOUR, WHOLE, events, fold_sql
 
 CENTS = "cast(round(value * 100) as bigint)"
@@ -255,7 +255,7 @@ QUERIES = {
 
 _KINDS = f"(select line_no, coalesce({sql_id('action')}, '') a, coalesce({sql_id('kind')}, '') k from action_events)"
 _METRICS = f"""with kept as (select a, k, count(*) c, row_number() over (order by min(line_no)) r from {_KINDS} where strlen(a) <= 128 and strlen(k) <= 128 group by 1, 2),
-over_ as (select cast(coalesce((select sum(c) from kept where r > 1000), 0) + (select count(*) from {_KINDS} where not (strlen(a) <= 128 and strlen(k) <= 128)) as bigint) as o)"""
+over_ as (select cast(coalesce((select sum(c) from kept where r > 10000), 0) + (select count(*) from {_KINDS} where not (strlen(a) <= 128 and strlen(k) <= 128)) as bigint) as o)"""
 _OUT = "case e.event_id % 5 when 0 then 'success' when 2 then 'permanent' when 4 then 'canceled' else 'timeout' end"
 _ALLOWED = "(" + ", ".join(f"('{a}', '{b}')" for a, b in EDGES) + ")"
 _FROM = "(" + ", ".join(sorted({f"'{a}'" for a, _ in EDGES})) + ")"
@@ -293,7 +293,7 @@ SQL = {
 select p_partkey, case when done then v end as v, turns as v_turns, case when not done then 'Timeout' end as error_kind from r where done or turns = 40""",
     "round_robin_route": "select cast(i % 7 as integer) as slot, count(*) as n, min(event_id) as first_id from (select event_id, row_number() over (order by ts, event_id) - 1 as i from events) group by 1",
     "fan_out_ordered": "select event_id, cast(round_even(value * 100, 0) as bigint) % 97 as out from events",
-    "race_winner": f"""with a as (select {sql_id('request_id')} as request_id, {sql_id('kind')} as kind, duration_ns as d from action_events where {sql_id('request_id')} is not null and duration_ns is not null)
+    "race_winner": f"""with a as (select {sql_id('request_id')} as request_id, {sql_id('kind')} as kind, {DURATION_SQL} as d from action_events where {sql_id('request_id')} is not null and {DURATION_SQL} is not null)
 select request_id, first(kind order by d, kind) filter (where kind = 'success') as winner, min(d) filter (where kind = 'success') as latency, bool_or(kind = 'success') as won, first(kind order by d, kind) filter (where kind <> 'success') as loser from a group by 1""",
     "dedup_join_back": "select l_partkey * 31 % 1009 as work, count(*) as n from lineitem group by 1",
     "idempotency_class": "select event_id, case when row_number() over w = 1 then 'executed' when first(event_type) over w = event_type then 'replayed' else 'conflict' end as claim from events window w as (partition by user_id, date_trunc('day', ts) order by ts, event_id)",
@@ -331,13 +331,14 @@ select saga_run_id, count(*) as n_steps, count(*) filter (where good) as n_succe
     "resume_outcomes": f"""with e as (select distinct {sql_id('execution_id')} as id, {sql_id('parent_execution_id')} as parent, generation, source_digest s, input_digest i, contract_digest c from execution_identities)
 select b.id as execution_id, b.generation, case when a.generation = b.generation and a.s = b.s and a.i = b.i and a.c = b.c then 'accepted' when not b.generation < 3 then 'conflict' when coalesce(b.generation > a.generation and b.parent = a.id, false) then 'successor' else 'validation' end as outcome
 from e a join e b on a.id = b.id where a.generation = 0 and b.generation > 0""",
-    "metrics_count": _METRICS + "select a as action, k as kind, c as count, cast(0 as bigint) as overflow from kept where r <= 1000 union all select null, null, 0, o from over_ where o > 0",
+    "metrics_count": _METRICS + "select a as action, k as kind, c as count, cast(0 as bigint) as overflow from kept where r <= 10000 union all select null, null, 0, o from over_ where o > 0",
     "prometheus_text": _METRICS
-    + """select row_number() over (order by o, a, k) as line_no, line from (select 0 as o, a, k, 'events_total{action="' || a || '",kind="' || k || '"} ' || c as line from kept where r <= 1000 union all select 1, '', '', 'events_total_overflow ' || o from over_ where o > 0)""",
+    + """select row_number() over (order by o, a, k) as line_no, line from (select 0 as o, a, k, 'events_total{action="' || a || '",kind="' || k || '"} ' || c as line from kept where r <= 10000 union all select 1, '', '', 'events_total_overflow ' || o from over_ where o > 0)""",
     "jsonl_redacted": """select sha256('{' || array_to_string(list_filter([case when time is not null then '"time":"' || strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ') || '"' end, '"line_no":' || line_no, '"kind":' || to_json(kind)::varchar, '"action":' || to_json(action)::varchar,
  case when request_type is not null then '"request_type":"string"' end, case when coalesce(error, '') <> '' then '"error":"[redacted]"' end, case when coalesce(recovered, '') <> '' then '"recovered":"[redacted]"' end], lambda x: x is not null), ',') || '}') as digest from action_events""",
     "topic_cursor_read": "select event_id as seq, event_type from events where event_id > 10 and event_id > (select max(event_id) from events) - 500 order by seq limit 40",
-    "calls_in_flight": f"""with m as (select {sql_id('action')} as action, epoch_us(time) as t, 1 as d from action_events where time is not null and duration_ns between 0 and 86400000000000 union all select {sql_id('action')}, epoch_us(time) + duration_ns // 1000 + 1, -1 from action_events where time is not null and duration_ns between 0 and 86400000000000)
+    "calls_in_flight": f"""with c as (select {sql_id('action')} as action, epoch_us(time)::hugeint as t, {DURATION_SQL}::hugeint as ns from action_events where time is not null),
+m as (select action, t, 1 as d from c where ns is not null union all select action, t + greatest(ns, 0) // 1000 + 1, -1 from c where ns is not null)
 select action, cast(max(r) as bigint) as most from (select action, sum(sum(d)) over (partition by action order by t, d rows unbounded preceding) as r from m group by action, t, d) group by 1""",
     "validate_rows": "select case when not o_totalprice > 50000 then 'Validation' when o_orderstatus = 'P' then 'Forbidden' end as error_kind, count(*) as n from orders group by 1",
     "dag_layers": "select 'root' as id, 0 as layer union all select distinct 'r' || n_regionkey, 1 from nation union all select 'n' || n_nationkey, 2 from nation",

@@ -9,7 +9,7 @@ from ..functions import coerce as c
 from ..functions import scalars as s
 from ..functions.values import go_duration_ns
 from ..session import table
-from .dealt import GO_DURATION_SQL, event_duration
+from .dealt import DURATION_SQL, GO_DURATION_SQL, event_duration
 
 #: Texts of all sorts of values, from the data: numbers with blanks, fractions, exponents, booleans, lists.
 _TEXTS = "concat_ws('', case when event_id % 7 = 0 then '  ' else '' end, case event_id % 9 when 0 then 't' when 1 then 'false' when 2 then cast(user_id as string) when 3 then concat('-', user_id) when 4 then concat(user_id, '.5') when 5 then concat(user_id, 'e2') when 6 then 'yes' when 7 then concat(user_id, ',', event_id, ',,x') else cast(event_id * 977 as string) end)"
@@ -140,5 +140,5 @@ SQL = {
     "filter_by_node": "select name from action_catalog where coalesce(scope = 'system', false) or node = (select min(node) from action_catalog where node <> '') or coalesce(node, '') = ''",
     "authz_filter": "select name, coalesce(list_has_any(tags, ['read', '*']), false) as may_read, coalesce(list_has_any(tags, ['all', '*', 'cache', 'audit']), false) as some_feature from action_catalog",
     "journal_names": "select case when generation > 0 then execution_id || '|generation:' || generation else execution_id end as journal, count(*) as n from execution_identities group by 1",
-    "hedged_latency": "select lower(trim(action)) as action, max(least(duration_ns, 50000000 + duration_ns // 2)) as slowest from action_events where duration_ns between 0 and 1000000000000 group by 1",
+    "hedged_latency": f"select lower(trim(action)) as action, cast(max(least(ns, 50000000 + floor(ns / 2))) as bigint) as slowest from (select action, {DURATION_SQL}::hugeint::decimal(38,1) as ns from action_events) where ns is not null group by 1",
 }

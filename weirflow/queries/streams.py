@@ -12,6 +12,7 @@ from ..order import order, ordinal
 from ..plans.stage import compose, distinct_stage, filter_stage, map_stage, take_stage
 from ..session import table
 from ..sources.readers import from_rows
+from .dealt import sql_id
 
 BY_USER = order("ts", "event_id", keys=("user_id",))
 WHOLE = order("ts", "event_id")
@@ -181,6 +182,8 @@ k as (select user_id, event_id, j, n, unnest(range(greatest(0, cast(ceil((j - {s
 select user_id, w as "window", string_agg(event_id, ',' order by j) as items from k group by user_id, w, n having w = 0 or (w - 1) * {step} + {size} <= n"""
 
 
+_KIND = sql_id("kind")
+
 SQL = {
     "flagship": "select event_id, user_id, round(value * 2, 4) as doubled from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts, event_id) = 1 order by ts, event_id limit 10",
     "map_project": "select event_id, cast(round(value * 100) as bigint) as cents from events",
@@ -212,6 +215,6 @@ SQL = {
     ),
     "session_numbers": f"select event_id, cast(sum(case when g <= {6 * HOUR} then 0 else 1 end) over (partition by user_id order by ts, event_id rows unbounded preceding) - 1 as bigint) as session from (select *, epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts, event_id) as g from events)",
     "from_rows_ordinal": "select * from (values (0::bigint, 3, 'c'), (1, 1, 'a'), (2, 2, 'b')) v(_i, value, name)",
-    "error_class_count": "select case when kind in ('timeout', 'retry') then 'transient' when kind in ('canceled', 'error') then 'neither' else 'permanent' end as class, count(*) as n from action_events group by 1",
+    "error_class_count": f"select case when k in ('timeout', 'retry') then 'transient' when k in ('canceled', 'error') then 'neither' else 'permanent' end as class, count(*) as n from (select {_KIND} as k from action_events) group by 1",
 }
 SQL |= {name: window_sql(*args) for name, args in WINDOWS.items()}
