@@ -42,7 +42,7 @@ def may(c: Column, permission: str) -> Column:
 
 
 def features(c: Column, wanted: Sequence[str], every: bool = True) -> Column:
-    return has_features(c["features"], wanted, every)
+    return has_features(c["features"], wanted, every, c["role"], c["roles"])
 
 
 def scope(c: Column) -> Column:

@@ -138,13 +138,22 @@ def has_permission(have: Column, wanted: str) -> Column:
     return F.coalesce(F.arrays_overlap(have, F.array(F.lit(wanted), F.lit("*"))), F.lit(False))
 
 
-def has_features(have: Column, wanted: Sequence[str], every: bool = True) -> Column:
-    """All (or any) of the features; ``all`` and ``*`` stand for every one."""
+#: The role that has every feature (a fixed value).
+SYSTEM_ADMIN = "system_admin"
+
+
+def has_features(have: Column, wanted: Sequence[str], every: bool = True, role: Column | None = None, roles: Column | None = None) -> Column:
+    """All (or any) of the features; ``all`` and ``*`` stand for every one, and so does the role ``system_admin``."""
     each = [F.array_contains(have, w) for w in wanted]
     joined = each[0]
     for e in each[1:]:
         joined = (joined & e) if every else (joined | e)
-    return F.coalesce(F.arrays_overlap(have, F.array(F.lit("all"), F.lit("*"))) | joined, F.lit(False))
+    out = F.coalesce(F.arrays_overlap(have, F.array(F.lit("all"), F.lit("*"))) | joined, F.lit(False))
+    if role is not None:
+        out = out | F.coalesce(role == SYSTEM_ADMIN, F.lit(False))
+    if roles is not None:
+        out = out | F.coalesce(F.array_contains(roles, SYSTEM_ADMIN), F.lit(False))
+    return out
 
 
 #: Share of the limits from which work of a priority is rejected (fixed values).

@@ -142,16 +142,22 @@ def race(candidates: DataFrame, keys: Sequence[str], value: str, latency: str, s
     )
 
 
-def worker_pool(fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, workers: int | None = None) -> Op:
-    """Any Python function over Arrow batches, in as many tasks as wanted; a batch that fails becomes one row with the error.
-    ``schema`` must hold ``_error string``. The order of results is unspecified."""
+def worker_pool(fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, workers: int | None = None, keep: Sequence[str] = ()) -> Op:
+    """Any Python function over Arrow batches, in as many tasks as wanted. An item that fails becomes one row with the error and its
+    ``keep`` columns; the others of its batch are not affected. ``schema`` must hold ``_error string``. The order of results is
+    unspecified. ``fn`` may see an item twice: in its batch, and by itself if the batch failed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 yield fn(b).assign(_error=None)
-            except Exception as e:  # noqa: BLE001
-                yield pd.DataFrame({"_error": [f"{type(e).__name__}: {e}"]})
+            except Exception:  # noqa: BLE001
+                for i in range(len(b)):
+                    one = b.iloc[i : i + 1]
+                    try:
+                        yield fn(one).assign(_error=None)
+                    except Exception as e:  # noqa: BLE001
+                        yield one[list(keep)].assign(_error=f"{type(e).__name__}: {e}")
 
     def op(df: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in schema.split(",")]

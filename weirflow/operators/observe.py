@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import label_escaped
 from ..order import Order
-from ..session import col
+from ..session import col, cut
 
 #: Limits of the metrics sink (fixed values).
 MAX_KEYS = 10_000
@@ -20,14 +20,13 @@ def metrics(events: DataFrame, action: str, kind: str, o: Order, max_keys: int =
     """(action, kind, count, overflow): events per key, of the first ``max_keys`` keys by first appearance; labels longer than
     ``max_bytes`` and later keys count as overflow (a row with null keys, present only if there is any)."""
     a, k = F.coalesce(col(action), F.lit("")), F.coalesce(col(kind), F.lit(""))
-    fits = (F.octet_length(a) <= max_bytes) & (F.octet_length(k) <= max_bytes)
+    fits = (F.octet_length(a) <= max_bytes) & (F.octet_length(k) <= max_bytes)  # both or neither
     keyed = events.groupBy(F.when(fits, a).alias("action"), F.when(fits, k).alias("kind")).agg(F.count(F.lit(1)).alias("count"), F.min(o.struct()).alias("__first"))
-    # keys are few next to events; only if there are more than the limit does their order matter
-    rank = F.row_number().over(Window.partitionBy(F.col("action").isNull()).orderBy("__first"))
-    ranked = keyed.withColumn("__kept", F.col("action").isNotNull() & (rank <= max_keys))
-    kept = ranked.where("__kept").select("action", "kind", "count", F.lit(0).cast("bigint").alias("overflow"))
+    # a top-k plan: each task keeps its first max_keys keys; what is over is the rest of the whole
+    kept = keyed.where("action is not null and kind is not null").orderBy("__first").limit(max_keys).select("action", "kind", "count", F.lit(0).cast("bigint").alias("overflow"))
     null = F.lit(None).cast("string")
-    over = ranked.where("not __kept").agg(F.sum("count").alias("overflow")).where("overflow > 0").select(null.alias("action"), null.alias("kind"), F.lit(0).cast("bigint").alias("count"), "overflow")
+    whole = keyed.agg(F.sum("count").alias("n")).unionByName(kept.agg((-F.sum("count")).alias("n"))).agg(F.sum("n").alias("overflow"))
+    over = whole.where("overflow > 0").select(null.alias("action"), null.alias("kind"), F.lit(0).cast("bigint").alias("count"), "overflow")
     return kept.unionByName(over)
 
 
@@ -84,18 +83,38 @@ def slow(df: DataFrame, duration: str, threshold: int) -> DataFrame:
 
 def intervals_in_flight(df: DataFrame, start: str, end: str, keys: list[str]) -> DataFrame:
     """Most calls in flight at once per key, from +1 / -1 marks (an end comes before a start of the same time)."""
+    # a key's marks are summed per time, then per range of times over all tasks, and only then run over within a range
     marks = df.select(*keys, F.explode(F.array(F.struct(col(start).alias("t"), F.lit(1).alias("d")), F.struct(col(end).alias("t"), F.lit(-1).alias("d")))).alias("m")).select(*keys, "m.*")
     summed = marks.groupBy(*keys, "t", "d").agg(F.sum("d").alias("s"))
-    run = F.sum("s").over(Window.partitionBy(*keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return summed.withColumn("r", run).groupBy(*keys).agg(F.max("r").alias("most"))
+    by = [*[col(k) for k in keys], F.col("t"), F.col("d")]
+    # over many tasks: rows sorted by (key, time) in ranges; a range's running sum is shifted by the ranges before it
+    placed = cut(summed.repartitionByRange(*by).withColumn("__p", F.spark_partition_id()))
+    run = F.sum("s").over(Window.partitionBy("__p", *keys).orderBy("t", "d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = placed.withColumn("r", run).groupBy("__p", *keys).agg(F.max("r").alias("most"), F.sum("s").alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("most", F.col("most") + before).groupBy(*keys).agg(F.max("most").alias("most"))
 
 
-def log_batches(logger: logging.Logger, kind: str = "kind", rows: int = 1000):
-    """A ``foreachBatch`` sink: one log line per event, at error level for kind ``error`` only, without payloads; at most ``rows`` a batch."""
+#: Columns that no log line shows.
+PAYLOADS = ("request", "response", "error", "recovered")
+
+
+def log_lines(events: DataFrame, kind: str = "kind") -> DataFrame:
+    """(level, line) of every event: ``ERROR`` for kind ``error`` only, else ``INFO``; the line is JSON without payloads and nulls."""
+    level = F.when(F.coalesce(col(kind) == "error", F.lit(False)), "ERROR").otherwise("INFO")
+    return events.select(level.alias("level"), F.to_json(F.struct(*[col(c) for c in events.columns if c not in PAYLOADS])).alias("line"))
+
+
+def log_batches(logger: str, kind: str = "kind"):
+    """A ``foreachBatch`` sink: one line per event to the logger of that name in the tasks' own processes, where it needs a handler."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        for r in df.limit(rows).toLocalIterator():
-            logger.log(logging.ERROR if r[kind] == "error" else logging.INFO, "batch %s: %s", batch_id, {k: v for k, v in r.asDict().items() if k not in ("request", "response", "error", "recovered")})
+        def log(rows) -> None:
+            out = logging.getLogger(logger)
+            for level, line in rows:
+                out.log(getattr(logging, level), "batch %s: %s", batch_id, line)
+
+        log_lines(df, kind).foreachPartition(log)
 
     return write
 

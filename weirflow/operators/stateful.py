@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..order import Order
+from ..order import Order, order, ordinal
 from ..session import col
 from .stream import Op
 
@@ -16,11 +16,13 @@ def classify_claims(key: Column, payload: Column, o: Order) -> Op:
     """``claim`` of each call without expiry: ``passthrough`` (no key), ``executed`` (the key's first), ``replayed`` (same payload) or ``conflict``."""
 
     def op(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("__k", F.nullif(key, F.lit("")))
+        # calls without a key, often many, take no part in the window
+        with_key = df.withColumn("__k", F.nullif(key, F.lit("")))
+        keyed = with_key.where("__k is not null")
         w = Window.partitionBy("__k").orderBy(*[col(c) for c in o.by])
         first = F.first(payload).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        kind = F.when(F.col("__k").isNull(), "passthrough").when(F.row_number().over(w) == 1, "executed").when(first.eqNullSafe(payload), "replayed").otherwise("conflict")
-        return keyed.withColumn("claim", kind).drop("__k")
+        kind = F.when(F.row_number().over(w) == 1, "executed").when(first.eqNullSafe(payload), "replayed").otherwise("conflict")
+        return keyed.withColumn("claim", kind).unionByName(with_key.where("__k is null").withColumn("claim", F.lit("passthrough"))).drop("__k")
 
     return op
 
@@ -71,11 +73,9 @@ def timers_due(timers: DataFrame, timer_id: str, delay_ns: str, canceled: str, r
     (one at least); within a tick the timer scheduled last fires first."""
     due = F.greatest(F.ceil(F.col(delay_ns) / resolution_ns).cast("bigint"), F.lit(1).cast("bigint"))
     live = timers.withColumn("due_tick", due).where(~F.coalesce(F.col(canceled), F.lit(False))).where(F.col("due_tick") * resolution_ns <= now_ns)
-    # a tick is a group of its own; its place among all is the number of earlier ones, counted per tick
-    per_tick = live.groupBy("due_tick").agg(F.count(F.lit(1)).alias("__n"))
-    up = per_tick.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("due_tick").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    within = F.row_number().over(Window.partitionBy("due_tick").orderBy(F.col(timer_id).desc()))
-    return live.withColumn("__w", within).join(up, "due_tick").withColumn("firing", F.col("__before") + F.col("__w") - 1).drop("__w", "__before")
+    # one order over many tasks, by ranges of (tick, timer), not by ticks, of which one may hold most timers
+    backwards = live.withColumn("__back", -F.col(timer_id))
+    return ordinal(backwards, order("due_tick", "__back"), "firing").drop("__back")
 
 
 def resume_outcome(existing: Mapping[str, Column], requested: Mapping[str, Column], force: Column, reason: Column) -> Column:

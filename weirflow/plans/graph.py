@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import contextlib
+import functools
 import os
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from types import MappingProxyType
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FlowError
+from ..functions.scalars import mermaid_id, mermaid_label
+from ..order import order, ordinal
 from ..session import cut
 
 State = Mapping[str, DataFrame]
@@ -186,16 +189,30 @@ class Graph:
         return spark.createDataFrame([(n, depth[n]) for n in sorted(self.nodes)], "id string, layer int"), spark.createDataFrame(sorted(self.edges), "from_id string, to_id string")
 
     def mermaid(self) -> str:
-        return mermaid(sorted(self.nodes), sorted(self.edges), sorted(self.routers))
+        return mermaid(list(self.nodes), list(self.edges))
 
 
-def mermaid(nodes: list[str], edges: list[tuple[str, str]], routed: list[str] = ()) -> str:
+def mermaid(nodes: list[str], edges: list[tuple[str, str]]) -> str:
+    """The drawing of a graph: header, nodes and edges in order."""
     ident = lambda n: "id_" + n.translate(str.maketrans({".": "_", "-": "_", " ": "_", "(": None, ")": None}))
-    lines = ["graph TD"] + [f'  {ident(n)}["{n.replace(chr(34), "#quot;")}"]' for n in nodes]
-    lines += [f"  {ident(a)} --> {ident(b)}" for a, b in edges] + [f"  {ident(a)} -.-> {ident(a)}_router{{router}}" for a in routed]
+    if not nodes:
+        return ""
+    lines = ["flowchart LR"] + [f'    {ident(n)}["{n.replace(chr(34), "#quot;")}"]' for n in sorted(nodes)]
+    lines += [f"    {ident(a)} --> {ident(b)}" for a, b in sorted(edges)]
     return "\n".join(lines) + "\n"
 
 
+def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(line_no, line) of the drawing of a graph that is a table: header, nodes (id) and edges (from_id, to_id), each in order; no
+    nodes - no lines."""
+    node = F.concat(F.lit("    "), mermaid_id(F.col("id")), F.lit('["'), mermaid_label(F.col("id")), F.lit('"]'))
+    edge = F.concat(F.lit("    "), mermaid_id(F.col("from_id")), F.lit(" --> "), mermaid_id(F.col("to_id")))
+    head = nodes.limit(1).select(F.lit(0).alias("part"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit("flowchart LR").alias("line"))
+    lines = head.unionByName(nodes.select(F.lit(1).alias("part"), F.col("id").alias("a"), F.lit("").alias("b"), node.alias("line")))
+    lines = lines.unionByName(edges.select(F.lit(2).alias("part"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), edge.alias("line")))
+    return ordinal(lines, order("part", "a", "b", "line")).select((F.col("_i") + 1).alias("line_no"), "line")
+
+
 def save(state: State, folder: str) -> None:
     """Outputs as Parquet, one folder a key. Writing again replaces."""
     for k, df in state.items():
@@ -206,20 +223,35 @@ def load(spark: SparkSession, folder: str, keys: list[str]) -> dict[str, DataFra
     """The outputs among ``keys`` that have been saved."""
     out = {}
     for k in keys:
-        with contextlib.suppress(Exception):
+        try:
             out[k] = spark.read.parquet(os.path.join(folder, k))
+        except AnalysisException as e:  # a file that is there but cannot be read is an error
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return out
 
 
-def layer_table(nodes: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(id, layer) of graphs that are tables: a node's layer is its longest path from a source. Frontier joins, one a layer; a cycle is an error."""
-    at = cut(nodes.select("id").join(edges.select(F.col("to_id").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(0)))
-    seen = at
-    for depth in range(1, max_depth):
-        at = cut(at.join(edges, at["id"] == edges["from_id"]).select(F.col("to_id").alias("id")).distinct().withColumn("layer", F.lit(depth)))
+def layer_table(nodes: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, layer) of graphs that are tables: a node's layer is its longest path from a source.
+
+    Frontier joins, one a layer: the nodes that no open node leads to are taken and the counts of edges into the others lowered.
+    If nodes are left when none can be taken, they are on or behind a cycle, which is an error; a graph of more layers than
+    ``max_depth`` is another.
+    """
+    known = nodes.select("id").distinct()
+    links = cut(edges.select("from_id", "to_id").distinct().join(known, F.col("to_id") == F.col("id"), "left_semi").join(known, F.col("from_id") == F.col("id"), "left_semi"))
+    into = links.groupBy(F.col("to_id").alias("__to")).agg(F.count(F.lit(1)).alias("d"))
+    open_ = known.join(into, F.col("id") == F.col("__to"), "left").select("id", F.coalesce("d", F.lit(0).cast("bigint")).alias("d"))
+    done: list[DataFrame] = []
+    while True:
+        step = cut(open_)
+        at = step.where("d = 0").select("id", F.lit(len(done)).alias("layer"))
         if at.isEmpty():
-            return nodes.select("id").join(seen.groupBy("id").agg(F.max("layer").alias("layer")), "id", "left")
-        seen = seen.unionByName(at)
-        if depth > nodes.count():
-            break
-    raise FlowError("Conflict", "the graph has a cycle")
+            if not step.isEmpty():
+                raise FlowError("Conflict", "the graph has a cycle")
+            return functools.reduce(DataFrame.unionByName, done) if done else at
+        if max_depth is not None and len(done) >= max_depth:
+            raise FlowError("Timeout", f"the graph has more than {max_depth} layers")
+        done.append(at)
+        fewer = links.join(at.select(F.col("id").alias("__at")), F.col("from_id") == F.col("__at"), "left_semi").groupBy(F.col("to_id").alias("__to")).agg(F.count(F.lit(1)).alias("k"))
+        open_ = step.where("d > 0").join(fewer, F.col("id") == F.col("__to"), "left").select("id", (F.col("d") - F.coalesce("k", F.lit(0))).alias("d"))

@@ -49,23 +49,37 @@ def deadline(spark: SparkSession, seconds: float, fn: Callable[[], Any]) -> Any:
         raise
     finally:
         timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(name, None)
 
 
-def first_done(*fns: Callable[[], Any], substantive: Callable[[Exception], bool] = lambda e: getattr(e, "kind", "") != "Canceled") -> Any:
-    """The first success by the clock; if none, the first substantive failure, else the first."""
+def first_done(*fns: Callable[[], Any], substantive: Callable[[Exception], bool] = lambda e: getattr(e, "kind", "") != "Canceled", spark: SparkSession | None = None) -> Any:
+    """The first success by the clock; if none, the first substantive failure, else the first. The others are not waited for; with
+    ``spark``, their Spark jobs are cancelled."""
     if not fns:
         return None
-    with ThreadPoolExecutor(len(fns)) as pool:
-        pending: set[Future] = {pool.submit(f) for f in fns}
+    sc = spark.sparkContext if spark is not None else None
+    tag = f"race-{threading.get_ident()}-{time.monotonic_ns()}"
+
+    def run(f: Callable[[], Any]) -> Any:
+        if sc is not None:
+            sc.addJobTag(tag)
+        return f()
+
+    pool = ThreadPoolExecutor(len(fns))
+    try:
+        pending: set[Future] = {pool.submit(run, f) for f in fns}
         errors: list[Exception] = []
         while pending:
             done, pending = wait(pending, return_when=FIRST_COMPLETED)
             for d in done:
                 if d.exception() is None:
-                    for p in pending:
-                        p.cancel()
                     return d.result()
                 errors.append(d.exception())
+    finally:
+        if sc is not None:
+            sc.cancelJobsWithTag(tag)
+        pool.shutdown(wait=False, cancel_futures=True)
     raise next((e for e in errors if substantive(e)), errors[0])
 
 

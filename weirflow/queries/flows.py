@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import require
@@ -12,7 +12,7 @@ from ..operators import compose as k
 from ..operators import folds, observe, stateful
 from ..operators.feature_table import distinct_records
 from ..order import order, ordinal
-from ..plans.graph import Builder, layer_table, output
+from ..plans.graph import Builder, layer_table, mermaid_lines, output
 from ..session import table
 from .dealt import DURATION_SQL, RECORD, RECORDS_SQL, event_duration, sql_id
 from .streams import BY_USER, HOUR, WHOLE, events, fold_sql
@@ -237,11 +237,36 @@ def dag_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dag_mermaid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the drawing of the action catalogue's nodes, from the table."""
-    from ..functions.scalars import mermaid_id, mermaid_label
+    """The drawing of the action catalogue: header, nodes, and an edge between the actions of a node that follow one another by name."""
+    n = table(spark, sf_dir, "action_catalog").select(F.col("name").alias("id"), "node")
+    after = F.lead("id").over(Window.partitionBy("node").orderBy("id"))
+    return mermaid_lines(n, n.where("node is not null").select(F.col("id").alias("from_id"), after.alias("to_id")).where("to_id is not null"))
 
-    n = table(spark, sf_dir, "action_catalog").select(F.concat(F.lit("  "), mermaid_id(F.col("name")), F.lit('["'), mermaid_label(F.col("name")), F.lit('"]')).alias("line"))
-    return n
+
+def dag_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of a graph made of chains of forty parts, with a shortcut over every tenth."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    name = lambda c: F.concat(F.lit("p"), c)
+    step = p.where("k % 40 <> 0").select(name(F.col("k")).alias("from_id"), name(F.col("k") + 1).alias("to_id"))
+    leap = p.where("k % 10 = 1").select(name(F.col("k")).alias("from_id"), name(F.col("k") + 9).alias("to_id"))
+    return layer_table(p.select(name(F.col("k")).alias("id")), step.unionByName(leap))
+
+
+def worker_pool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python worker that fails on some items: each failure is its item's, all others of a batch have their results."""
+
+    def work(b: pd.DataFrame) -> pd.DataFrame:
+        if (b["event_id"] % 97 == 5).any():
+            raise ValueError("no such event")
+        return pd.DataFrame({"event_id": b["event_id"], "out": b["event_id"] * 3})
+
+    return k.worker_pool(work, "event_id bigint, out bigint, _error string", workers=4, keep=["event_id"])(events(spark, sf_dir).select("event_id")).withColumnRenamed("_error", "failure")
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event's log line, without its payloads."""
+    e = table(spark, sf_dir, "action_events").select("line_no", clean_id(F.col("kind")).alias("kind"), "action", "error", "recovered")
+    return observe.log_lines(e)
 
 
 QUERIES = {
@@ -249,7 +274,7 @@ QUERIES = {
     for f in (
         pipe_with, chain_3, branch_type, switch_default, branch_frames, ternary_truthy, parallel_3, parallel_named, first_success, catch_recover, loop_until, round_robin_route, fan_out_ordered, race_winner, dedup_join_back,
         idempotency_class, idempotency_ttl, cache_hit_miss, breaker_fold, token_bucket_fold, concurrency_fold, state_machine_valid, state_machine_strict, saga_outcome, fenced_writes, retry_log, timer_wheel_due, resume_outcomes,
-        metrics_count, prometheus_text, jsonl_redacted, topic_cursor_read, calls_in_flight, validate_rows, dag_layers, dag_fanin_join, dag_dynamic, dag_mermaid,
+        metrics_count, prometheus_text, jsonl_redacted, topic_cursor_read, calls_in_flight, validate_rows, dag_layers, dag_deep, dag_fanin_join, dag_dynamic, dag_mermaid, worker_pool_errors, log_lines,
     )
 }
 
@@ -274,6 +299,7 @@ def _breaker(reset: int) -> str:
     )
 
 
+_MERMAID_ID = "'id_' || replace(replace(replace(replace(replace({}, '.', '_'), '-', '_'), ' ', '_'), '(', ''), ')', '')"
 _TT = "cast(floor(e.t / 7200) as bigint)"
 _FULL = "least(3000000, case when x - seen > 40000000 then 3000000 else tokens + x - seen end)"
 
@@ -344,5 +370,15 @@ select action, cast(max(r) as bigint) as most from (select action, sum(sum(d)) o
     "dag_layers": "select 'root' as id, 0 as layer union all select distinct 'r' || n_regionkey, 1 from nation union all select 'n' || n_nationkey, 2 from nation",
     "dag_fanin_join": "select c_name, count(o_orderkey) as n_orders from customer left join orders on c_custkey = o_custkey group by c_custkey, c_name",
     "dag_dynamic": "with recursive r as (select p_partkey // 2 as k, 1 as step from part where p_partkey % 2 = 0 union all select k // 2, step + 1 from r where k % 2 = 0 and step < 30), c as (select step, count(*) as n, max(k) as top from r group by 1) select n, top from c where n < 500 order by step limit 1",
-    "dag_mermaid": """select '  id_' || replace(replace(replace(replace(replace(name, '.', '_'), '-', '_'), ' ', '_'), '(', ''), ')', '') || '["' || replace(name, '"', '#quot;') || '"]' as line from action_catalog""",
+    "dag_mermaid": f"""with e as (select name as a, lead(name) over (partition by node order by name) as b from action_catalog where node is not null),
+lines as (select 0 as p, '' as a, '' as b, 'flowchart LR' as line from action_catalog limit 1),
+every as (select * from lines union all select 1, name, '', '    ' || {_MERMAID_ID.format('name')} || '["' || replace(name, '"', '#quot;') || '"]' from action_catalog
+ union all select 2, a, b, '    ' || {_MERMAID_ID.format('a')} || ' --> ' || {_MERMAID_ID.format('b')} from e where b is not null)
+select row_number() over (order by p, a, b, line) as line_no, line from every""",
+    "dag_deep": """with recursive e as (select p_partkey as a, p_partkey + 1 as b from part where p_partkey % 40 <> 0 union select p_partkey, p_partkey + 9 from part where p_partkey % 10 = 1),
+k as (select a, b from e where b in (select p_partkey from part)),
+w as (select p_partkey as n, 0 as d from part where p_partkey not in (select b from k) union select k.b, w.d + 1 from w join k on k.a = w.n)
+select 'p' || n as id, max(d) as layer from w group by 1""",
+    "worker_pool_errors": "select event_id, case when event_id % 97 <> 5 then event_id * 3 end as out, case when event_id % 97 = 5 then 'ValueError: no such event' end as failure from events",
+    "log_lines": f"""select case when coalesce({sql_id('kind')}, '') = 'error' then 'ERROR' else 'INFO' end as level, '{{' || array_to_string(list_filter(['"line_no":' || line_no, '"kind":' || to_json({sql_id('kind')})::varchar, '"action":' || to_json(action)::varchar], lambda x: x is not null), ',') || '}}' as line from action_events""",
 }
