@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.llm import leak, packing, residue
-from weirflow.llm.residue_rules import has_residue_body, has_slot
+from weirflow.llm import residue_text
+from weirflow.llm.residue_rules import has_slot
 
 
 def test_packing_is_feasible_and_tight():
@@ -141,34 +142,74 @@ SLOTS = ["Dear {{ name }}, welcome.", "Your run ended at ${release_date} today."
 CLEAN = ["Use `{{ name }}` in the template.", 'It printed "<no value>" once.', "```\nexport A=${HOME}/x\n```\nThat sets the path.", "The linter flags templates with leftovers such as [insert team name] or TODO.", "The path is /v1/x/{id}/steps/{step} and both are checked.",
          "Behaviour for a nil mesh is undefined in the old client.", "> Please enable JavaScript\n\nThat banner came from the old console, which we deleted last week together with its pages.", "20:30:59 level=info err=<nil>", 'log.Printf("canal %s took %v", in.ID)', "What??? Really.", "",
          'Clients saw a plain "404 Not Found" for 58 minutes because the router had lost its table.', "The dashboard draws its graph with JavaScript, and people who disable scripts get the table view."]
-BODIES = ["404 Not Found", "Please enable JavaScript to view this page.", "<html><body><h1>500 - Internal Server Error</h1><p>Try again later.</p></body></html>", "Lorem ipsum dolor sit amet. Consectetur adipiscing elit sed do eiusmod.", "Zugriff verweigert. Zurück zur Übersicht",
-          "# About us\n\nThis is sample text for the body of the page. Text will be added later.", "blah blah blah blah blah blah blah blah", "Accès refusé.\n\nAccueil | Aide | Recherche", "Your session has ended. Sign in again to go on."]
 
 
 def test_residue_rules():
     assert [t for t in SLOTS if not has_slot(t)] == []
-    assert [t for t in CLEAN if has_slot(t) or has_residue_body(t)] == []
-    assert [t for t in BODIES if not has_residue_body(t)] == []
-    assert [t for t in SLOTS if has_residue_body(t)] == []
+    assert [t for t in CLEAN if has_slot(t)] == []
+
+
+def reasons(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("key", F.lit("clash")).withColumn("label", F.lit("body")).repartition(3)
+    return {r["doc_id"]: r["reason"] for r in residue.residue(df).collect()}
+
+
+def segments(text):
+    return [s for s, n, _ in residue_text.read(text, {}, {}) if n]
+
+
+def test_masked_segments():
+    assert segments("Run 17 of pallet-probe took 3.5ms.\n# Heading\nPlease enable client-side scripts!") == ["run 0 of § took §", "please enable js"]
+    assert segments("<p>Please enable JavaScript</p><p>Error 404</p>") == ["please enable js", "error 0"]
+    assert segments("Lorem ipsum dolor sit amet. Vitae mollis ligula rutrum.") == ["lat", "lat"] and segments("blah blah blah blah blah") == ["rep"] and segments("sdfkj lkjsdf jjkl dfs") == ["key"]
+    assert segments('He said "page not found" twice.\n> access denied') == ["", ""]
+    assert segments("We put your type in.") == ["we put your type in"] and segments("It is minimal in its ad.") != ["lat"]
+
+
+def test_labels_spread_over_shared_segments(spark):
+    """From two trusted notices to others, to a menu, and to a text that runs its segments together; not to content."""
+    rnd = random.Random(4)
+    menu, other, third = "Runs Graphs Help", "The gateway had a bad day", "Come back in a while"
+    river = " ".join(rnd.choice(["river", "stone", "cloud", "tree", "wind"]) for _ in range(60))
+    docs = [(1, f"Access denied.\n{menu}"), (2, f"404 not found\n{menu}\n{other}"), (3, f"{other}.\n{menu}"), (4, f"{third}\n{other}"), (5, f"{other}\n{third}\n{menu}"), (6, third), (7, f"{third} {other} {menu}")]
+    # content that quotes, discusses or shares a line with them
+    docs += [(20, f"{river}\n404 not found\n{menu}"), (21, f'The page said "{other}" and "{third}", which we then changed for something that says what happened to whom.'), (22, river), (23, f"{river}\n{third}"), (24, "Short note.")]
+    got = reasons(spark, docs)
+    assert set(got) == {1, 2, 3, 4, 5, 6, 7} and got[6] == "spread"
+    # without the trusted two nothing is known
+    assert reasons(spark, [d for d in docs if d[0] not in (1, 2, 20)]) == {}
+
+
+def test_bodies(spark):
+    trusted = ["404 Not Found", "Please enable JavaScript to view this page.", "<html><body><h1>500 - Internal Server Error</h1></body></html>", "Lorem ipsum dolor sit amet. Consectetur adipiscing elit sed do eiusmod.", "blah blah blah blah blah blah blah blah", "jafdld hdd hsjfk ffk", "Accès refusé."]
+    got = reasons(spark, list(enumerate(trusted)) + [(100 + i, t) for i, t in enumerate(CLEAN)] + [(200, "17 18 19"), (201, "...")])
+    assert got == {i: "seed" for i in range(len(trusted))}
 
 
 def test_residue_spreads_to_near_duplicates_only(spark):
     rnd = random.Random(6)
-    known = "Lorem ipsum dolor sit amet. " + " ".join(rnd.choice("consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()) for _ in range(120)) + "."
-    # revisions whose changed words are no mock Latin; a chain leads away step by step
-    chain, text = [], known.split()
-    for k in range(3):
-        for j in range(2):
-            text[20 + 12 * k + 5 * j] = f"zzz{k}{j}"
-        chain.append(" ".join(text))
+    known = "Access denied.\n" + " ".join(rnd.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(30))
     far = " ".join(rnd.choice(["river", "stone", "cloud", "tree", "wind"]) for _ in range(120))
     content = "The shard is drained. " * 3 + " ".join(rnd.choice(["river", "stone", "cloud"]) for _ in range(60))
-    docs = [(1, known), (2, known), (3, chain[0]), (4, chain[1]), (5, chain[2]), (6, far), (7, content + " {{ name }} "), (8, content + " Anna "), (9, None), (10, " \n"), (11, "x"), (12, "404 not found")] + [(100 + i, far) for i in range(50)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("key", F.lit("clash")).withColumn("label", F.lit("body")).repartition(3)
-    got = {r["doc_id"]: r["reason"] for r in residue.residue(df).collect()}
-    assert got[7] == "slot" and 8 not in got and got[12] == "body" and not set(got) & {6, 9, 10, 11, 100}
-    assert {1, 2, 3, 4, 5} <= set(got)
-    assert residue.residue(df.limit(0)).count() == 0
+    docs = [(1, known), (2, known), (6, far), (7, content + " {{ name }} "), (8, content + " Anna "), (9, None), (10, " \n"), (11, "x"), (12, "404 not found")] + [(100 + i, far) for i in range(50)]
+    got = reasons(spark, docs)
+    assert got[7] == "slot" and 8 not in got and got[12] == "seed" and not set(got) & {6, 9, 10, 11, 100} and {1, 2} <= set(got)
+    assert residue.residue(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_near_duplicates_of_residue(spark):
+    """A chain of revisions of a residue text, each a near-duplicate of the one before, is reached link by link."""
+    rnd = random.Random(3)
+    notices = " ".join(f"access denied {rnd.choice(WORDS)} {rnd.choice(WORDS)} {rnd.choice(WORDS)}." for _ in range(60))
+    steps, words = [notices], notices.split()
+    for k in range(4):
+        words = words[:]
+        for j in range(4):
+            at = 5 * (13 * k + 3 * j)
+            words[at : at + 2] = ["quux", "yonder"]
+        steps.append(" ".join(words))
+    got = reasons(spark, list(enumerate(steps)))
+    assert got[0] == "seed" and set(got) == set(range(5)) and "near" in got.values()
 
 
 def test_near_pairs_and_likeness(spark):
@@ -182,14 +223,14 @@ def test_near_pairs_and_likeness(spark):
             w[rnd.randrange(150)] = rnd.choice(WORDS)
         texts.append(" ".join(w))
     sets = [set(residue.shingle_hashes(t.split(), {}).tolist()) for t in texts]
-    nodes = spark.createDataFrame([(i, *residue.simhash(residue.shingle_hashes(t.split(), {})), 146) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, shingles int")
+    nodes = spark.createDataFrame([(i, *residue.simhash(residue.shingle_hashes(t.split(), {})), len(sets[i])) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, mixed bigint, shingles int")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     pairs = residue.near_pairs(nodes.where("rep < 30"), nodes.where("rep >= 30"))
     got = {(r["a"], r["b"]) for r in residue.alike(pairs, docs).collect()}
     for nearest in (0, 1, 16):
         assert {r["hit"] for r in residue.linked(pairs, docs, nearest).collect()} == {a for a, _ in got}
     want = {(a, b) for a in range(30) for b in range(30, 60) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert got <= want and len(got) >= 0.85 * len(want)
+    assert got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_very_long_texts_take_linear_time():
@@ -199,7 +240,7 @@ def test_very_long_texts_take_linear_time():
     for text in ("{{ x }};" * 50_000 + "{", "word " * 400_000, "a" * 1_000_000, "`{{ x }}` " * 50_000, "<" * 300_000, "```\n" * 50_000, "404 not found " * 50_000 + "river stone " * 200_000, " ".join(rnd.choice(WORDS) for _ in range(300_000))):
         began = time.time()
         has_slot(text)
-        has_residue_body(text)
+        residue_text.read(text, {}, {})
         residue.simhash(residue.shingle_hashes(text.lower().split(), {}))
         leak.words(text)
         assert time.time() - began < 20

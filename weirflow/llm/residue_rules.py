@@ -1,10 +1,8 @@
-"""Trusted signs of template residue in one text: unfilled slots in running text, and bodies that are filler, an error page or a
-notice that scripts are required. Text that is shown, quoted or discussed (code, quotes, block quotes) is no sign."""
+"""Unfilled slots in the running text of one document. What is shown, quoted or discussed (code, quotes, block quotes) is no sign."""
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 #: Names of template fields (fixed values); they count where a bracket style alone would be too common.
 FIELDS = (
@@ -84,140 +82,3 @@ def has_slot(text: str) -> bool:
             continue
         return True
     return False
-
-
-_SCRIPT = r"(?:java ?scripts?|js|(?:client-side |browser )?(?:scripts?|scripting))"
-_REST = r"[^.!?\n|]{0,80}"
-_SAY = rf"(?:{_SCRIPT})"
-#: What error pages, block pages and notices say, in lower case (``...``: the rest of the sentence).
-NOTICES = [
-    # scripts required
-    rf"(?:please |you (?:must|need to) )?(?:enable|activate|allow|turn on|switch on) {_SAY}...",
-    rf"(?:turn|switch) {_SAY} on...",
-    rf"(?:this|the) (?:\w+ ){{0,2}}(?:needs|requires) {_SAY}...",
-    rf"you need {_SAY} to...",
-    rf"to [\w ]{{2,40}}, (?:allow|enable) {_SAY}...",
-    rf"your browser (?:does not|doesn['’]t) support {_SAY}...",
-    rf"{_SAY} (?:is|are) (?:turned off|disabled|switched off|required|not enabled)...",
-    rf"(?:we['’]?re sorry, but )?[\w ]{{2,40}} (?:doesn['’]t|does not) work (?:properly )?without {_SAY}...",
-    rf"{_SAY} (?:est désactivé|está desactivado|ist in ihrem browser|ist (?:deaktiviert|ausgeschaltet))...",
-    rf"(?:veuillez activer|bitte aktivieren sie|active|por favor,? active|activez) {_SAY}...(?:,...)?",
-    rf"(?:cette application nécessite|esta aplicación necesita|diese anwendung benötigt) {_SAY}...",
-    rf"(?:sans|sin|ohne) {_SAY},? (?:la|no|kann|der|die|das|el)...",
-    # errors and blocks
-    r"(?:http )?(?:error|erreur|fehler) \d{3}(?: ?[-:]+ ?)?",
-    r"\d{3} ?[-:]* ?(?=internal server error|(?:page |seite )?(?:not found|nicht gefunden)|bad gateway|service unavailable|gateway time-?out|forbidden|unauthorized|too many requests)",
-    r"(?:the )?(?:page|seite|site|file|document) (?:was )?(?:not found|nicht gefunden)|página no encontrada|page introuvable|not found",
-    r"internal server error|interner serverfehler|erreur interne du serveur|error interno del servidor|bad gateway|service unavailable|gateway time-?out",
-    r"access denied|zugriff verweigert|accès refusé|acceso denegado|request blocked|forbidden|unauthorized",
-    r"you (?:do not|don['’]t) have permission...|sie haben keine berechtigung...|vous n['’]avez pas (?:le droit|la permission)...|no tiene permiso...",
-    r"oops|something went wrong...|an unexpected error...|es ist ein unerwarteter fehler...|une erreur inattendue...|se ha producido un error...",
-    r"(?:please )?try again later|wait (?:\d+|\{n\}) seconds? and try again|too many requests|zu viele anfragen|trop de requêtes|demasiadas solicitudes",
-    r"(?:this|the) site is (?:down|closed)...|we(?:['’]re| are) (?:down|closed) for...|wartungsarbeiten:?...|site en maintenance...|sitio en mantenimiento...",
-    r"(?:the link you followed|your session|ihre sitzung|votre session|su sesión) (?:has|is|ist|a|ha) (?:expired|ended|abgelaufen|expiré|caducado|timed out)",
-    r"sign in again to go on|(?:login|log-in|sign-in|anmeldung|connexion) (?:is )?(?:required|erforderlich|requise)|inicio de sesión requerido",
-    r"this (?:content|document|page|item) (?:is not available|has been removed|is no longer available|does not exist)...",
-    r"the page you (?:asked for|requested|are looking for)...|die angeforderte seite...|la page demandée...|la página solicitada...",
-    r"we (?:could not|couldn['’]t) connect...|the gateway received no answer...|fatal error: cannot...|no such (?:revision|page|file|document)",
-    r"(?:we['’]?re )?sorry, we (?:can['’]?t|cannot|could not|couldn['’]t) find...|checking your (?:connection|browser) before...",
-]
-#: What filler text says, in lower case.
-FILLERS = [
-    r"lorem ipsum dolor sit amet|lorem ipsum",
-    r"(?:text|content|copy) (?:will be added|goes here|to follow)...|your (?:content|text|copy) (?:goes )?here|coming soon",
-    r"(?:some )?(?:dummy|filler|placeholder) (?:copy|text|content)...|more filler...|this is (?:sample|dummy|placeholder) text...",
-    r"replace this (?:paragraph|text)...|write something (?:interesting )?here|example (?:heading|paragraph|text|title)",
-    r"dies ist ein blindtext...|fülltext...|platzhalter\w*...|bitte diesen (?:absatz|text) ersetzen...|hier steht später...",
-    r"texte à remplacer...|ceci est un faux texte...|texte de remplissage...|paragraphe d['’]exemple...|votre contenu ici",
-    r"este es un texto de (?:relleno|ejemplo)...|texto de (?:relleno|ejemplo)...|sustituya este...|aquí va su...",
-]
-#: Furniture around a body: neither content nor sign.
-FURNITURES = [
-    r"(?:menu|menü|menú)(?: [\wàâçéèêëîïôûùüÿñáíóúäöß]+){1,6}$|skip to content|(?:go |back )to (?:start page|overview|home|top)|contact support|if this keeps happening...(?:,...)?",
-    r"powered by [\w{}-]+|(?:request id|reference|error code|requête|solicitud|anfrage|revision):? [0-9a-f{]\S*",
-    r"retour à l['’]accueil|zurück zur übersicht|volver al inicio",
-    r"[\wàâçéèêëîïôûùüÿñáíóúäöß]+(?: [\wàâçéèêëîïôûùüÿñáíóúäöß]+)?(?: \| [\wàâçéèêëîïôûùüÿñáíóúäöß]+(?: in\b)?)+",
-    r"at [\w.]+ ?\([\w./]+:\d+\)",
-    r"menu runs graphs journals settings help|menu exécutions graphes réglages|menü läufe graphen einstellungen|menú ejecuciones grafos ajustes",
-]
-
-
-def _any(phrases: list[str]) -> str:
-    return "|".join(p.replace("...", _REST) for p in phrases)
-
-
-_BODY = re.compile(rf"(?<!\w)(?:(?P<f>{_any(FURNITURES)})|(?P<r>{_any(NOTICES + FILLERS)}))(?!\w)", re.M)
-#: Words of the customary mock Latin (fixed values).
-LATIN = frozenset(
-    "ad adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt do dolor dolore duis ea eiusmod elit enim esse est et eu "
-    "ex excepteur exercitation fugiat id in incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi non nostrud nulla occaecat officia pariatur "
-    "proident qui quis reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate".split()
-)
-_TAGS = re.compile(r"<[^<>\n]{1,200}>|&lt;[^&\n]{1,100}&gt;")
-_WORDS = re.compile(r"[^\W\d_]+")
-_HEADING = re.compile(r"^[ \t]*#[^\n]*", re.M)
-
-
-def has_residue_body(text: str) -> bool:
-    """Whether all that the text says is filler, an error or block page or a notice about scripts."""
-    words = text.split()
-    total = len(words)
-    if not total:
-        return False
-    if total >= 4 and len(set(words)) <= 0.5 * total:
-        word, most = Counter(w.lower().strip(".,;:!?") for w in words).most_common(1)[0]
-        if most > (0.6 if total >= 8 else 0.9) * total and word[:1].isalpha():
-            return True  # one word over and over
-    low = text.lower()
-    flat = _TAGS.sub("\n", low) if "<" in low or "&lt;" in low else low
-    flat = _HEADING.sub("", flat)
-    if not _may_be_body(flat):
-        return False
-    sizes = {"f": 0, "r": 0}
-
-    def count(m: re.Match) -> str:
-        sizes[m.lastgroup] += len(_WORDS.findall(m[0]))
-        return "\n"
-
-    quoted = sum(len(_WORDS.findall(q)) for q in _QUOTED.findall(flat))
-    left = _WORDS.findall(_BODY.sub(count, _QUOTED.sub("\n", flat)))
-    latin = sum(w in LATIN for w in left)
-    if latin < 0.7 * len(left):
-        latin = 0
-    content = quoted + len(left) - latin - sum(_HEX.match(w) is not None for w in left if not latin)
-    residue = sizes["r"] + latin
-    return residue > 0 and content <= max(5, 0.3 * residue)
-
-
-def _may_be_body(flat: str) -> bool:
-    """Cheap test that refuses only texts that the rule refuses: with no sign of a notice or filler only mock Latin is residue, and
-    with no sign of furniture all other words are content."""
-    if any(s in flat for s in _SIGNS) or (("script" in flat or "js" in flat) and _SCRIPT_WORD.search(flat)) or _NUMBERED.search(flat):
-        return True
-    words = _WORDS.findall(flat)
-    latin = sum(map(LATIN.__contains__, words))
-    if not latin:
-        return False
-    return len(words) - latin <= max(5, 0.3 * latin) or any(s in flat for s in _FURNITURE_SIGNS) or _TRACE.search(flat) is not None
-
-
-#: A text that any of NOTICES or FILLERS matches holds one of these, a script's name or a numbered error.
-_SIGNS = (
-    "not found", "nicht gefunden", "no encontrada", "introuvable", "server error", "serverfehler", "erreur interne", "error interno", "bad gateway", "service unavailable", "gateway time",
-    "access denied", "zugriff verweigert", "accès refusé", "acceso denegado", "request blocked", "forbidden", "unauthorized", "have permission", "keine berechtigung", "vous n'avez pas", "vous n’avez pas", "vous navez pas", "no tiene permiso",
-    "oops", "something went wrong", "an unexpected error", "unerwarteter fehler", "erreur inattendue", "ha producido un error", "try again", "too many requests", "zu viele anfragen", "trop de requêtes", "demasiadas solicitudes",
-    "site is down", "site is closed", "re down for", "re closed for", "wartungsarbeiten", "site en maintenance", "sitio en mantenimiento", "the link you followed", "your session", "ihre sitzung", "votre session", "su sesión",
-    "sign in again", "required", "erforderlich", "requise", "sesión requerido", "is not available", "has been removed", "no longer available", "does not exist", "the page you", "angeforderte seite", "page demandée", "página solicitada",
-    "we could not", "we couldn't", "we couldn’t", "received no answer", "fatal error: cannot", "no such ", "sorry, we", "checking your",
-    "lorem ipsum", "will be added", "goes here", "to follow", "content here", "text here", "copy here", "coming soon", "dummy", "filler", "placeholder", "this is sample text", "replace this", "write something", "example heading", "example paragraph", "example text", "example title",
-    "blindtext", "fülltext", "platzhalter", "ersetzen", "hier steht später", "texte à remplacer", "faux texte", "texte de remplissage", "paragraphe d", "votre contenu ici", "texto de ", "sustituya este", "aquí va su",
-)
-_SCRIPT_WORD = re.compile(r"(?<!\w)(?:javascript|script|js)")
-_NUMBERED = re.compile(r"(?:error|erreur|fehler) \d{3}")
-#: The same of FURNITURES, or a line of a stack trace.
-_FURNITURE_SIGNS = (
-    "menu", "menü", "menú", "skip to content", "to start page", "to overview", "to home", "to top", "contact support", "if this keeps", "powered by", "request id", "reference", "error code", "requête", "solicitud", "anfrage", "revision", "retour à l", "zurück zur", "volver al", " | ",
-)
-_TRACE = re.compile(r"(?<!\w)at [\w.]+ ?\(")
-_QUOTED = re.compile(r"^[ \t]*>[^\n]*", re.M)
-_HEX = re.compile(r"[a-f]{1,8}$")
