@@ -140,6 +140,18 @@ def test_only_a_cycle_and_only_a_chain(spark):
     assert sorted(r["depth"] for r in hierarchy(chain).collect()) == list(range(6))
 
 
+def test_levels_and_bands_agree(spark):
+    """A bush, a long chain and nodes below a cycle: level by level to the end, in bands from the start, and as both take turns."""
+    rnd = random.Random(5)
+    parent = {f"n{i}": (f"n{rnd.randrange(max(1, i // 3))}" if i else None) for i in range(150)}
+    parent |= {f"c{i}": f"c{i - 1}" if i else "n149" for i in range(23)} | {"s": "s", "s1": "s", "s2": "s1", "s3": "s2"}
+    df = spark.createDataFrame(list(parent.items()), "node string, parent string")
+    want = brute(parent)
+    for thin in (0, 0.125, 1.1):
+        got = {r["node"]: (r["state"], r["root"], r["depth"], list(r["path"]) if r["path"] else None) for r in hierarchy(df, thin=thin).collect()}
+        assert got == want
+
+
 def test_salted_join(spark):
     left = spark.range(1000).select(F.when(F.col("id") < 700, "hot").when(F.col("id") < 710, None).otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("710", 2), ("nobody", 3)], "rk string, v int")

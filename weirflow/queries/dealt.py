@@ -29,6 +29,16 @@ def p1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_table(table(spark, sf_dir, "action_events"), "tenant_id", "kind", "time", "attempt", **RECORD).withColumnRenamed("entity", "tenant_id")
 
 
+def p1_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table of p1_features turned back into one row per tenant and kind it had, with its totals as kind null."""
+    wide = p1_features(spark, sf_dir)
+    stems = [c[3:] for c in wide.columns if c.startswith("n__")]
+    q = lambda c: "`" + c + "`"
+    cells = [f"named_struct('kind', '{s}', 'n', {q('n__' + s)}, 'last_us', {q('last_us__' + s)}, 'age_us', {q('age_us__' + s)}, 'total', {q('total__' + s)})" for s in stems]
+    whole = "named_struct('kind', cast(null as string), 'n', n_records, 'last_us', last_us, 'age_us', cast(null as bigint), 'total', total)"
+    return wide.selectExpr("tenant_id", f"explode(array({', '.join([whole, *cells])})) as c").select("tenant_id", "c.*").where("n > 0")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot_keys(table(spark, sf_dir, "action_events"), ["tenant_id", "action"], "kind", 3).select("key_field", "key_value")
 
@@ -78,7 +88,7 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestor_pairs(nodes)
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p2_found, p2_profiles, p3_found, p3_sessions, p5_found, p5_hierarchy, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_long, p2_found, p2_profiles, p3_found, p3_sessions, p5_found, p5_hierarchy, p5_descendants)}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
 
@@ -105,19 +115,11 @@ DURATION_SQL = f"coalesce(duration_ns, {GO_DURATION_SQL.replace('(d)', '(duratio
 
 _KEYS = f"(select 'tenant_id' as key_field, {sql_id('tenant_id')} as key_value, * from action_events union all select 'action', {sql_id('action')}, * from action_events)"
 
-_P1 = f"""select * from (pivot (with recs as {RECORDS_SQL},
-long as (select tenant_id, kind, count(*) n, epoch_us(max(time)) l, sum(coalesce(attempt, 0)) t from recs group by 1, 2),
-kinds as (select kind, regexp_replace(kind, '[^a-z0-9]+', '_', 'g') stem from (select distinct kind from long where kind is not null)),
-latest as (select max(l) a from long),
-totals as (select tenant_id, sum(n) n_records, max(l) last_us, sum(t) total from long where tenant_id is not null group by 1),
-cells as (select tenant_id, stem, n, l, a - l age, t from totals cross join kinds left join long using (tenant_id, kind) cross join latest)
-select tenant_id, 'n_records' c, n_records::bigint v from totals union all
-select tenant_id, 'last_us', last_us from totals union all
-select tenant_id, 'total', total::bigint from totals union all
-select tenant_id, 'n__' || stem, coalesce(n, 0)::bigint from cells union all
-select tenant_id, 'last_us__' || stem, l from cells union all
-select tenant_id, 'age_us__' || stem, age from cells union all
-select tenant_id, 'total__' || stem, coalesce(t, 0)::bigint from cells) on c using max(v) group by tenant_id)"""
+_P1 = f"""with recs as {RECORDS_SQL},
+long as (select tenant_id, kind, count(*) n, epoch_us(max(time)) l, sum(coalesce(attempt, 0))::bigint t from recs group by 1, 2),
+latest as (select max(l) a from long)
+select tenant_id, regexp_replace(kind, '[^a-z0-9]+', '_', 'g') as kind, n, l as last_us, a - l as age_us, t as total from long cross join latest where tenant_id is not null and kind is not null union all
+select tenant_id, null, sum(n)::bigint, max(l), null, sum(t)::bigint from long where tenant_id is not null group by 1"""
 
 _P2_FOUND = f"select key_field, key_value from {_KEYS} where key_value is not null group by 1, 2 having count(*) * 100 >= 3 * (select count(*) from action_events)"
 
@@ -148,7 +150,7 @@ n as (select e.node, e.parent, e.named_root, w.root, w.depth, w.path,
 """
 
 SQL = {
-    "p1_features": _P1,
+    "p1_long": _P1,
     "p2_found": _P2_FOUND,
     "p2_profiles": _P2_PROFILES,
     "p3_found": _P3 + "select user_id, start_us, end_us from r",
