@@ -155,7 +155,7 @@ def reasons(spark, docs):
 
 
 def segments(text):
-    return [s for s, n, _ in residue_text.read(text, {}, {}) if n]
+    return [s for s, n, _ in residue_text.read(text, residue_text.masks(), residue_text.kinds()) if n]
 
 
 def test_masked_segments():
@@ -222,8 +222,8 @@ def test_near_pairs_and_likeness(spark):
         for _ in range(rnd.randrange(4)):
             w[rnd.randrange(150)] = rnd.choice(WORDS)
         texts.append(" ".join(w))
-    sets = [set(residue.shingle_hashes(t.split(), {}).tolist()) for t in texts]
-    nodes = spark.createDataFrame([(i, *residue.simhash(residue.shingle_hashes(t.split(), {})), len(sets[i])) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, mixed bigint, shingles int")
+    sets = [set(residue.shingle_hashes(t.split(), residue.word_hashes()).tolist()) for t in texts]
+    nodes = spark.createDataFrame([(i, *residue.simhash(residue.shingle_hashes(t.split(), residue.word_hashes())), len(sets[i])) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, mixed bigint, shingles int")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     pairs = residue.near_pairs(nodes.where("rep < 30"), nodes.where("rep >= 30"))
     got = {(r["a"], r["b"]) for r in residue.alike(pairs, docs).collect()}
@@ -240,8 +240,8 @@ def test_very_long_texts_take_linear_time():
     for text in ("{{ x }};" * 50_000 + "{", "word " * 400_000, "a" * 1_000_000, "`{{ x }}` " * 50_000, "<" * 300_000, "```\n" * 50_000, "404 not found " * 50_000 + "river stone " * 200_000, " ".join(rnd.choice(WORDS) for _ in range(300_000))):
         began = time.time()
         has_slot(text)
-        residue_text.read(text, {}, {})
-        residue.simhash(residue.shingle_hashes(text.lower().split(), {}))
+        residue_text.read(text, residue_text.masks(), residue_text.kinds())
+        residue.simhash(residue.shingle_hashes(text.lower().split(), residue.word_hashes()))
         leak.words(text)
         assert time.time() - began < 20
     p = passage(rnd, 60)

@@ -34,7 +34,7 @@ from weirflow.operators.skew import join_to_unique
 from weirflow.session import col, cut
 
 from .residue_rules import has_slot
-from .residue_text import NUMBER, read
+from .residue_text import HEADING, NUMBER, Memo, kinds, masks, read
 
 #: Beginnings of segments that are trusted to be residue, masked (``0``: a number, ``js``: any word for scripts); fixed values.
 SEEDS = (
@@ -46,6 +46,7 @@ SEEDS = (
 #: Words a segment may have beside the trusted ones.
 BESIDE = 6
 FAMILIES = ("lat", "key", "rep")
+_FIRST = frozenset(s.split(" ", 1)[0] for s in SEEDS)
 #: A segment joins if it keeps labelled company in so many texts, and in this share of the texts that have it; company is kept where
 #: at least COMPANY of a text's other words are labelled, and the segment is no more than LONGER times as long as they are.
 SUPPORT = 2
@@ -66,23 +67,19 @@ BROADCAST_IDS = 1_000_000
 DICTIONARY_WORDS = 2_000_000
 #: Candidates of a node that are compared first, the nearest in Hamming distance; the others only if none of these is a link.
 NEAREST = 16
-_MEMO = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingle_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    """64-bit hashes of the shingles of five words; a shorter text is one shingle."""
+def word_hashes() -> Memo:
     import xxhash
 
-    if len(memo) > _MEMO:
-        memo.clear()
-    hashes = np.empty(max(len(words), SHINGLE), np.uint64)
-    hashes[len(words) :] = 0
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        hashes[i] = h
+    return Memo(xxhash.xxh64_intdigest)
+
+
+def shingle_hashes(words: list[str], memo: Memo) -> np.ndarray:
+    """64-bit hashes of the shingles of five words; a shorter text is one shingle."""
+    hashes = np.zeros(max(len(words), SHINGLE), np.uint64)
+    hashes[: len(words)] = np.array([memo[w] for w in words], np.uint64)
     n = len(hashes) - SHINGLE + 1
     out = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
@@ -115,13 +112,13 @@ def hashed(text: str) -> int:
 def is_seed(segment: str) -> bool:
     if segment in FAMILIES:
         return True
-    return any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
+    return segment.split(" ", 1)[0] in _FIRST and any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    memo, kinds, hashes = {}, {}, {}
+    memo, suspect, hashes = masks(), kinds(), word_hashes()
     for b in batches:
         rows = []
         texts = b.column(1)
@@ -129,7 +126,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = texts[i].as_py()
             if not text.strip():
                 continue
-            segments = read(text, memo, kinds)
+            segments = read(text, memo, suspect)
             flat = [w for _, _, tokens in segments for w in tokens]
             # a text of nothing but marks and numbers is told by its characters
             s = np.unique(shingle_hashes(flat or [text], hashes))
@@ -183,15 +180,20 @@ def spread_segments(all_: DataFrame) -> DataFrame:
     return labelled
 
 
+#: Words for scripts that are masked together with a neighbour, and the marks around a word.
+SCRIPTS = {"js", "java", "javascript", "script", "scripts", "scripting", "client-side", "browser"}
+PUNCTUATION = ".,:;!?|()[]-–—•*'’"
+
+
 def said(labelled: Column, words: Column) -> Column:
     """Whether all that a text says is residue."""
     return (labelled > 0) & (words - labelled <= F.greatest(F.lit(FREE), FREE_SHARE * labelled))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, kinds = {}, {}
+    memo, suspect = masks(), kinds()
     for b in batches:
-        found = {t: " ".join(tokens) for text in b.column(0).to_pylist() for t, n, tokens in read(text, memo, kinds) if t and n}
+        found = {t: " ".join(tokens) for text in b.column(0).to_pylist() for t, n, tokens in read(text, memo, suspect) if t and n}
         yield pa.RecordBatch.from_arrays([pa.array([hashed(t) for t in found], pa.int64()), pa.array(list(found.values()), pa.string())], ["h", "tokens"])
 
 
@@ -222,7 +224,18 @@ class Cover:
         for s in self.whole:
             self.lengths.setdefault(s[0], []).append(len(s))
         self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
-        self.known = {w for s in self.whole for w in s}
+        #: Whether a word as it stands in a text may be one of the dictionary's.
+        words = {w for s in self.whole for w in s} | {NUMBER} | SCRIPTS
+        mask = masks()
+        self.known = Memo(lambda w: mask[w.strip(PUNCTUATION) or "0"] in words)
+
+    def may(self, text: str) -> bool:
+        """Cheap test that refuses no text that the dictionary covers but for a few words."""
+        if "<" in text or "&lt;" in text:
+            return True
+        raw = (HEADING.sub("", text) if "#" in text else text).lower().split()
+        free = len(raw) - sum([self.known[w] for w in raw])
+        return free <= max(2 * FREE, FREE_SHARE * len(raw))
 
     def positions(self, tokens: list[str]) -> list[int]:
         out: list[int] = []
@@ -238,14 +251,16 @@ class Cover:
         return out
 
 
-def _cover(broadcast):
+def _cover(broadcast, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cover = Cover(broadcast.value)
-        memo, kinds = {}, {}
+        memo, suspect = masks(), kinds()
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                segments = read(text, memo, kinds)
+                if whole and not cover.may(text):
+                    continue
+                segments = read(text, memo, suspect)
                 at, base, words = [], 0, 0
                 for t, n, tokens in segments:
                     words += n
@@ -265,8 +280,9 @@ def covered(rows: DataFrame, blocks: Iterator[list[str]]) -> DataFrame | None:
     """(doc_id): documents whose words, in running text, are those of labelled segments but for a few. The rows of several blocks
     of the dictionary are united by document."""
     out = None
-    for block in blocks:
-        one = rows.mapInArrow(_cover(rows.sparkSession.sparkContext.broadcast(block)), "doc_id bigint, h bigint, words int, at array<int>")
+    first, more = next(blocks, None), next(blocks, None)
+    for block in itertools.chain([b for b in (first, more) if b], blocks):
+        one = rows.mapInArrow(_cover(rows.sparkSession.sparkContext.broadcast(block), more is None), "doc_id bigint, h bigint, words int, at array<int>")
         out = one if out is None else out.unionByName(one)
     if out is None:
         return None
@@ -304,7 +320,9 @@ def reached(rest: DataFrame, grown: DataFrame, rows: DataFrame) -> tuple[DataFra
     """The nodes of ``rest`` in the near-duplicate components of the nodes ``grown``, and those that are in none."""
     near = None
     while n := grown.count():
-        pairs = cut(near_pairs(rest, grown, n))
+        # at most a hundred bands
+        bands = grown.select(F.explode(F.array(*[_band("shingles") + d for d in (-1, 0, 1)])).alias("band")).distinct()
+        pairs = cut(near_pairs(rest.join(F.broadcast(bands), _band("shingles") == F.col("band"), "left_semi"), grown, n))
         if pairs.isEmpty():
             break
         hit = linked(pairs, rows)
@@ -317,9 +335,9 @@ def reached(rest: DataFrame, grown: DataFrame, rows: DataFrame) -> tuple[DataFra
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo, kinds, hashes = {}, {}, {}
+    memo, suspect, hashes = masks(), kinds(), word_hashes()
     for b in batches:
-        sets = [np.unique(shingle_hashes([w for _, _, tokens in read(t, memo, kinds) for w in tokens] or [t], hashes)).view(np.int64) for t in b.column(1).to_pylist()]
+        sets = [np.unique(shingle_hashes([w for _, _, tokens in read(t, memo, suspect) for w in tokens] or [t], hashes)).view(np.int64) for t in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "set"])
 
 
@@ -356,27 +374,18 @@ def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     labelled = spread_segments(all_)
     known = labelled.count()
     segs = all_.where("not slot").select("doc_id", "key", "words", F.explode(F.arrays_zip("segs", "ns")).alias("s")).select("doc_id", "key", "words", F.col("s.segs").alias("h"), F.col("s.ns").alias("n"))
-    nodes = cut(all_.where("not slot").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*CUTS, "shingles")]))
+    nodes = all_.where("not slot").groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in (*CUTS, "shingles")])
     told = segs.distinct().join(small(labelled, known), "h").groupBy("doc_id", "key", "words")
     told = told.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("trusted"), F.col("n")).otherwise(0)).alias("own"))
     told = told.where(said(F.col("n"), F.col("words"))).groupBy("key").agg(F.max(said(F.col("own"), F.col("words"))).alias("own"))
     told = cut(told)
-    # near-duplicates of trusted bodies first; then what shares segments, and the near-duplicates of that
-    seeds = told.where("own").select("key")
-    with_seeds = cut(nodes.join(seeds.withColumn("seed", F.lit(True)), "key", "left"))
-    near, rest = reached(with_seeds.where("seed is null").drop("seed"), with_seeds.where("seed").drop("seed"), rows)
-    reasons = seeds.select("key", F.lit("seed").alias("reason"))
-    if near is not None:
-        reasons = reasons.unionByName(near.select("key", F.lit("near").alias("reason")))
-    shared = told.where("not own").select("key")
+    bodies = told.select("key", F.when(F.col("own"), "seed").otherwise("spread").alias("reason"))
     run_on = covered(rows, dictionary(all_, rows, labelled)) if known else None
     if run_on is not None:
-        shared = shared.unionByName(all_.where("not slot").join(run_on, "doc_id", "left_semi").select("key"))
-    shared = cut(rest.join(shared.distinct(), "key", "left_semi"))
-    reasons = reasons.unionByName(shared.select("key", F.lit("spread").alias("reason")))
-    rest = cut(rest.join(shared.select(F.col("key").alias("gone")), F.col("key") == F.col("gone"), "left_anti"))
-    near, _ = reached(rest, shared, rows)
-    if near is not None:
-        reasons = reasons.unionByName(near.select("key", F.lit("near").alias("reason")))
+        bodies = bodies.unionByName(all_.where("not slot").join(run_on, "doc_id", "left_semi").select("key", F.lit("spread").alias("reason")))
+    bodies = cut(bodies.groupBy("key").agg(F.min("reason").alias("reason")))
+    nodes = cut(nodes.join(bodies, "key", "left"))
+    near, _ = reached(nodes.where("reason is null").drop("reason"), nodes.where("reason is not null").drop("reason"), rows)
+    reasons = bodies if near is None else bodies.unionByName(near.select("key", F.lit("near").alias("reason")))
     body = join_to_unique(all_.where("not slot").select("doc_id", "key"), reasons.select(F.col("key").alias("of"), "reason"), "key", "of").where("of is not null").select("doc_id", "reason")
     return all_.where("slot").select("doc_id", F.lit("slot").alias("reason")).unionByName(body)

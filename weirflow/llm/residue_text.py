@@ -29,7 +29,7 @@ ROWS = tuple(map(frozenset, ("qwertyuiop", "asdfghjkl", "zxcvbnm")))
 MOST = 0.7
 
 _TAG = re.compile(r"</?[a-z!][^<>]{0,500}>|&lt;[^&\n]{1,100}&gt;")
-_HEADING = re.compile(r"^[ \t]*#[^\n]*", re.M)
+HEADING = re.compile(r"^[ \t]*#[^\n]*", re.M)
 _BLOCK_QUOTE = re.compile(r"^[ \t]*>", re.M)
 _SCRIPT = re.compile(r"(?<!\w)(?:java ?scripts?|js|(?:client-side |browser )?(?:scripts?|scripting))(?!\w)")
 _TOKEN = re.compile(r"\w+(?:['’./@:_-]+\w+)*|[.!?:;](?=\s|\Z)|\n| - |[\"“”`]")
@@ -50,32 +50,44 @@ def _mask(token: str) -> str:
     return NUMBER if _HEX.match(token) or not any(c.isalpha() for c in token) else NAME
 
 
-def masked(text: str, memo: dict[str, str]) -> list[list[str]]:
+class Memo(dict):
+    """A function of words, remembered; forgotten when there are too many."""
+
+    def __init__(self, of):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word):
+        if len(self) > _MEMO:
+            self.clear()
+        out = self[word] = self.of(word)
+        return out
+
+
+def masks() -> Memo:
+    return Memo(_mask)
+
+
+def masked(text: str, memo: Memo) -> list[list[str]]:
     """Segments of masked tokens. Headings are left out; a quote character stays as a token, also where a line is quoted."""
-    if len(memo) > _MEMO:
-        memo.clear()
     low = text.lower()
     if "<" in low or "&lt;" in low:
         low = _TAG.sub("\n", low)
     if "#" in low:
-        low = _HEADING.sub("", low)
+        low = HEADING.sub("", low)
     if ">" in low:
         low = _BLOCK_QUOTE.sub('"', low)
     if "script" in low or "js" in low:
         low = _SCRIPT.sub("js", low)
+    tokens = [memo[t] for t in _TOKEN.findall(low)]
+    tokens.append(END)
     out: list[list[str]] = []
-    now: list[str] = []
-    for t in _TOKEN.findall(low):
-        m = memo.get(t)
-        if m is None:
-            m = memo[t] = _mask(t)
-        if m is not END:
-            now.append(m)
-        elif now:
-            out.append(now)
-            now = []
-    if now:
-        out.append(now)
+    begin, last = 0, len(tokens)
+    while begin < last:
+        end = tokens.index(END, begin)
+        if end > begin:
+            out.append(tokens[begin:end])
+        begin = end + 1
     return out
 
 
@@ -112,20 +124,22 @@ def size(segment: list[str]) -> int:
     return n - segment.count(QUOTE) if QUOTE in segment else n
 
 
-def read(text: str, memo: dict[str, str], kinds: dict[str, bool]) -> list[tuple[str, int, list[str]]]:
+def kinds() -> Memo:
+    """Whether a word may be one of a family's."""
+    return Memo(lambda w: _latin(w) or _mashed(w))
+
+
+def read(text: str, memo: Memo, suspect: Memo) -> list[tuple[str, int, list[str]]]:
     """(text, words, tokens) of a text's segments; the text of one of a family is the family's name, of one with a quote empty: what
     is quoted is shown or discussed."""
-    if len(kinds) > _MEMO:
-        kinds.clear()
     out = []
     for s in masked(text, memo):
+        n = len(s)
         # cheap: of a family's segments a word stands twice, or two of the first four are of the family's kind
-        few = 0
-        for w in s[:4]:
-            k = kinds.get(w)
-            if k is None:
-                k = kinds[w] = _latin(w) or _mashed(w)
-            few += k
-        f = family(s) if few >= min(2, len(s)) or (len(s) > 3 and len(set(s)) <= 0.5 * len(s) + 1) else None
-        out.append((f or ("" if QUOTE in s else " ".join(s)), size(s), [f] if f else s))
+        if sum([suspect[w] for w in s[:4]]) >= min(2, n) or (n > 3 and len(set(s)) <= 0.5 * n + 1):
+            f = family(s)
+            if f:
+                out.append((f, size(s), [f]))
+                continue
+        out.append(("" if QUOTE in s else " ".join(s), size(s), s))
     return out
