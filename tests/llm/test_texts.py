@@ -208,8 +208,12 @@ def test_near_duplicates_of_residue(spark):
             at = 5 * (13 * k + 3 * j)
             words[at : at + 2] = ["quux", "yonder"]
         steps.append(" ".join(words))
-    got = reasons(spark, list(enumerate(steps)))
-    assert got[0] == "seed" and set(got) == set(range(5)) and "near" in got.values()
+    rows = spark.createDataFrame(list(enumerate(steps)) + [(9, " ".join(rnd.choice(WORDS) for _ in range(300)))], "doc_id bigint, text string")
+    nodes = residue.signed(rows).select("key", F.col("doc_id").alias("rep"), *residue.CUTS, "shingles").cache()
+    near, rest = residue.reached(nodes.where("rep > 0"), nodes.where("rep = 0"), rows)
+    assert {r["rep"] for r in near.collect()} == {1, 2, 3, 4} and {r["rep"] for r in rest.collect()} == {9}
+    direct = residue.linked(residue.near_pairs(nodes.where("rep > 0"), nodes.where("rep = 0")), rows)
+    assert 4 not in {r["hit"] for r in direct.collect()}
 
 
 def test_near_pairs_and_likeness(spark):
