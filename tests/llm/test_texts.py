@@ -121,6 +121,41 @@ def test_leaks_found_and_nothing_else(spark):
     assert leak.leaked(df.limit(0), tests).count() == 0 and leak.leaked(df, tests.limit(0)).count() == 0
 
 
+def test_recall_by_length_and_edits():
+    """Passages of every length with one word edited, and long ones with more, are found again; other texts are not."""
+    rnd = random.Random(12)
+    vocabulary = WORDS + [w + "s" for w in WORDS] + [w + "ed" for w in WORDS]
+    for n, edits in [(5, 0), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (10, 1), (11, 1), (12, 1), (14, 2), (24, 3), (60, 8), (140, 20)]:
+        items = [(i, [rnd.choice(vocabulary) for _ in range(n)]) for i in range(80)]
+        searches = leak.searches([(i, " ".join(p)) for i, p in items], leak.SHARE)
+        texts = []
+        for _, p in items:
+            q = p[:]
+            for k in rnd.sample(range(n), edits):
+                q[k] = rnd.choice(["quux", rnd.choice(vocabulary), ""])
+            texts.append(" ".join(["before", "it"] + q + ["after", "it"]))
+        found = {f[:2] for search in searches for f in search(texts)}
+        right = sum((i, i) in found for i in range(80))
+        assert right >= 72, (n, edits, right)
+        assert len(found) - right <= 2, (n, edits, found)
+
+
+def test_banded_alignment():
+    rnd = random.Random(2)
+    for _ in range(200):
+        x = [rnd.randrange(9) for _ in range(rnd.randrange(1, 30))]
+        y = x[:]
+        for _ in range(rnd.randrange(3)):
+            k = rnd.randrange(len(y) + 1)
+            y[k : k + rnd.randrange(2)] = [rnd.randrange(9)] * rnd.randrange(2)
+        edits, kept = leak.aligned(x, y)
+        full = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) + 1):
+            for j in range(len(y) + 1):
+                full[i][j] = i + j if not i or not j else min(full[i - 1][j - 1] + (x[i - 1] != y[j - 1]), full[i - 1][j] + 1, full[i][j - 1] + 1)
+        assert edits == full[-1][-1] and len(kept) >= len(x) - edits
+
+
 def test_close_windows_meet():
     """Windows within one edit meet in some repetition far more often than windows that share nothing."""
     rnd = random.Random(3)

@@ -3,8 +3,10 @@
 Words of every document and passage become ids of the passages' vocabulary. Windows of WINDOW words are embedded by a CGK random
 walk, which turns a small edit distance into a small Hamming distance, and hashed by bit sampling: REPEATS independent walks,
 SAMPLED coordinates each. EVIDENCE meetings of a document's and a passage's windows make (document, item) a candidate;
-candidates are verified on the words themselves: stretches with few edits, longer than a phrase, must cover the wanted share of
-the passage. A window with too few words of the vocabulary cannot be within the edit radius of any passage window and is not hashed.
+candidates are verified on the words themselves: stretches longer than a phrase, of a banded edit distance of at most a third of
+their words, must reproduce the wanted share of the passage. A window with too few words of the vocabulary cannot be within the
+edit radius of any passage window and is not hashed. Short passages have an index of their own, of shorter windows, where one
+meeting makes a candidate and a local alignment verifies it.
 
 The items are broadcast in blocks of at most ITEM_WORDS words; documents are scanned where they are read, without a shuffle.
 """
@@ -24,14 +26,18 @@ from pyspark.sql import functions as F
 from weirflow.session import col
 
 WINDOW = 8
-#: Edits a window may have to be worth hashing; more than one in three words is no running stretch.
-RADIUS = 3
+#: Passages of fewer words than LONG are short, with windows of SHORT_WINDOW words and SHORT_SAMPLED coordinates.
+LONG = 12
+SHORT_WINDOW = 4
+SHORT_SAMPLED = 2
 REPEATS = 8
 SAMPLED = 5
 #: Meetings (of any windows, in any repetition) that make a pair a candidate. One window reproduced word for word gives REPEATS.
 EVIDENCE = 6
-#: Share of the passage's words that must be reproduced: "about half", less what single misspelt words take away.
-SHARE = 0.42
+#: Share of the passage's words that must be reproduced unchanged: half of them, of which one in six may be changed.
+SHARE = 5 / 12
+#: Share of a stretch's words that may be edited.
+EDITED = 1 / 3
 #: A stretch has at least so many reproduced words.
 STRETCH = 6
 #: Words of the items of one broadcast block.
@@ -57,6 +63,8 @@ class Index:
 
     def __init__(self, items: Sequence[tuple[int, str]], window: int = WINDOW, repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = 7):
         self.window, self.repeats = window, repeats
+        #: Edits a window may have to be worth hashing.
+        self.radius = 3 * window // 8
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.passages = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(p)], np.int32) for _, p in items]
@@ -122,9 +130,9 @@ class Index:
         return (np.concatenate(found_at), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def covered(passage_len: int, grams: dict, doc: list[int], positions: Sequence[int], stretch: int = STRETCH) -> int:
-    """How many words of the passage are reproduced in stretches of ``doc``: exact runs of three words or more, joined over at most
-    two edited words, with at least ``stretch`` reproduced words in all. ``positions``: where to look."""
+def stretches(grams: dict, doc: list[int], positions: Sequence[int], stretch: int = STRETCH) -> list[tuple[int, int, int, int]]:
+    """Where ``doc`` may reproduce the passage: (from, to) in the passage, (from, to) in the document, of chains of exact runs of three
+    words or more over at most two edited words, with at least ``stretch`` words in runs. ``positions``: where to look."""
     runs: dict[int, list[list[int]]] = {}
     for j in positions:
         for i in grams.get((doc[j], doc[j + 1], doc[j + 2]), ()):
@@ -133,33 +141,100 @@ def covered(passage_len: int, grams: dict, doc: list[int], positions: Sequence[i
                 on[-1][1] = i + 3
             else:
                 on.append([i, i + 3])
-    flat = sorted((a, b, d) for d, on in runs.items() for a, b in on)
-    mark = np.zeros(passage_len, bool)
-    open_: list[list] = []  # stretches being built: end, diagonal, runs, words
-    done: list[list] = []
-    for a, b, d in flat:
+    open_: list[list[int]] = []  # chains being built: end and diagonal, words in runs, end in the document, where it began
+    done: list[list[int]] = []
+    for a, b, d in sorted((a, b, d) for d, on in runs.items() for a, b in on):
         best = None
-        for s in open_:
-            if -1 <= a - s[0] <= 3 and abs(d - s[1]) <= 2 and (a - d) >= s[4] - 1 and (best is None or s[3] > best[3]):
-                best = s
+        for c in open_:
+            if -1 <= a - c[0] <= 3 and abs(d - c[1]) <= 2 and a - d >= c[3] - 1 and (best is None or c[2] > best[2]):
+                best = c
         if best is None:
-            open_.append([b, d, [(a, b)], b - a, b - d])
+            open_.append([b, d, b - a, b - d, a, a - d])
         else:
-            best[2].append((max(a, best[0]), b))
-            best[3] += max(0, b - max(a, best[0]))
-            best[0], best[1], best[4] = max(b, best[0]), d, b - d
+            best[2] += max(0, b - max(a, best[0]))
+            best[0], best[1], best[3] = max(b, best[0]), d, b - d
+        # chains that nothing can go on from any more
         if len(open_) > 64:
-            done += [s for s in open_ if s[0] < a - 3]
-            open_ = [s for s in open_ if s[0] >= a - 3]
-    for s in done + open_:
-        if s[3] >= stretch:
-            for a, b in s[2]:
-                mark[a:b] = True
-    return int(mark.sum())
+            done += [c for c in open_ if c[0] < a - 3]
+            open_ = [c for c in open_ if c[0] >= a - 3]
+    return [(c[4], c[0], c[5], c[3]) for c in done + open_ if c[2] >= stretch]
 
 
-def _search(index: Index, share: float):
+def aligned(x: Sequence[int], y: Sequence[int]) -> tuple[int, list[int]]:
+    """Banded edit distance of two stretches of words, and the places in ``x`` of the words that an alignment of least edits keeps."""
+    n, m = len(x), len(y)
+    band = abs(n - m) + max(3, n // 6)
+    far = n + m
+    rows = [[j if j <= band else far for j in range(m + 1)]]
+    for i in range(1, n + 1):
+        row, last = [far] * (m + 1), rows[-1]
+        lo, hi = max(0, i - band), min(m, i + band)
+        if lo == 0:
+            row[0] = i
+        for j in range(max(1, lo), hi + 1):
+            best = last[j - 1] + (x[i - 1] != y[j - 1])
+            up, back = last[j] + 1, row[j - 1] + 1
+            row[j] = min(best, up, back)
+        rows.append(row)
+    kept, i, j = [], n, m
+    while i and j:
+        here = rows[i][j]
+        if here == rows[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+            if x[i - 1] == y[j - 1]:
+                kept.append(i - 1)
+            i, j = i - 1, j - 1
+        elif here == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return rows[n][m], kept
+
+
+def covered(passage: list[int], grams: dict, doc: list[int], positions: Sequence[int], stretch: int = STRETCH) -> int:
+    """How many words of the passage are reproduced in stretches of ``doc`` with at most a third of their words edited."""
+    mark: set[int] = set()
+    for a, b, c, d in stretches(grams, doc, positions, stretch):
+        edits, kept = aligned(passage[a:b], doc[c:d])
+        if edits <= EDITED * (b - a) and len(kept) >= stretch:
+            mark.update(a + i for i in kept)
+    return len(mark)
+
+
+def local(passage: Sequence[int], doc: Sequence[int]) -> int:
+    """Words of a short passage that a running stretch of ``doc`` keeps. Up to seven words: all less the least edits of the whole
+    passage. More: local alignment, a kept word for 1, an edit for -2."""
+    if len(passage) < 2 * SHORT_WINDOW:
+        last = [0] * (len(doc) + 1)
+        for i, w in enumerate(passage, 1):
+            row = [i]
+            for j, v in enumerate(doc):
+                row.append(min(last[j] + (w != v), last[j + 1] + 1, row[j] + 1))
+            last = row
+        return len(passage) - min(last)
+    zero = best = (0, 0)
+    last = [zero] * (len(doc) + 1)
+    for w in passage:
+        row = [zero]
+        for j, v in enumerate(doc):
+            s, k = last[j]
+            here = (s + 1, k + 1) if w == v else (s - 2, k)
+            here = max(here, (last[j + 1][0] - 2, last[j + 1][1]), (row[j][0] - 2, row[j][1]), zero)
+            row.append(here)
+            best = max(best, here)
+        last = row
+    return best[1]
+
+
+def wanted(n: int) -> int:
+    """Kept words that make a case of a short passage of n words: all but one, from eight words on a stretch; under five all."""
+    return n if n < 5 else min(STRETCH, n - 1)
+
+
+def _search(index: Index, share: float, short: bool = False):
     w = index.window
+    evidence = 1 if short else EVIDENCE
+
+    passages = [p.tolist() for p in index.passages]
 
     def leaks(texts: list[str | None]) -> list[tuple[int, int, float]]:
         """(text's number, item, share) of the verified pairs of some texts."""
@@ -174,7 +249,7 @@ def _search(index: Index, share: float):
         ends = np.cumsum(lengths)
         known = np.concatenate([[0], np.cumsum(flat > 0)])
         in_window = known[w:] - known[:-w] if len(flat) >= w else np.zeros(0, int)
-        starts = np.flatnonzero(in_window >= w - RADIUS)
+        starts = np.flatnonzero(in_window >= w - index.radius)
         at, passage = index.candidates(flat, starts)
         pairs: list[tuple[int, int, list[int]]] = []
         if len(at):
@@ -183,7 +258,7 @@ def _search(index: Index, share: float):
             key, at = key[order], at[order]
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(first, len(key)))
-            for f, n in zip(first[size >= EVIDENCE].tolist(), size[size >= EVIDENCE].tolist()):
+            for f, n in zip(first[size >= evidence].tolist(), size[size >= evidence].tolist()):
                 d, p = divmod(int(key[f]), len(index.ids))
                 pairs.append((d, p, np.unique(at[f : f + n]).tolist()))
         out = []
@@ -201,8 +276,13 @@ def _search(index: Index, share: float):
                 a, b = max(upto, s - begin - size - 2 * w), min(len(doc) - 2, s - begin + size + 2 * w)
                 look.extend(range(a, b))
                 upto = max(upto, b)
-            n = covered(size, index.grams[p], doc, look)
-            if n >= share * size:
+            if short:
+                n = max(local(passages[p], doc[max(0, s - begin - size - 2) : s - begin + size + w + 2]) for s in where)
+                good = n >= max(wanted(size), share * size)
+            else:
+                n = covered(passages[p], index.grams[p], doc, look)
+                good = n >= share * size
+            if good:
                 out.append((d, index.ids[p], n / size))
         for size, table in index.short.items():
             for s in np.flatnonzero(known[size:] - known[:-size] == size).tolist() if len(flat) >= size else ():
@@ -213,16 +293,24 @@ def _search(index: Index, share: float):
     return leaks
 
 
+def searches(items: Sequence[tuple[int, str]], share: float) -> list:
+    """A search for the long passages and one for the short ones, if there are any."""
+    n = [len(words(p)) for _, p in items]
+    long, short = [x for x, k in zip(items, n) if k >= LONG], [x for x, k in zip(items, n) if k < LONG]
+    return ([_search(Index(long), share)] if long else []) + ([_search(Index(short, SHORT_WINDOW, REPEATS, SHORT_SAMPLED), share, True)] if short else [])
+
+
 _OUT = "doc_id bigint, item_id bigint, share double"
 
 
 def _scan(broadcast, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaks = _search(Index(broadcast.value), share)
+        each = searches(broadcast.value, share)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
                 ids = part.column(0).to_pylist()
-                rows = leaks(part.column(1).to_pylist())
+                texts = part.column(1).to_pylist()
+                rows = [r for leaks in each for r in leaks(texts)]
                 cols = list(zip(*[(ids[d], i, s) for d, i, s in rows])) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "share"])
 
@@ -247,8 +335,8 @@ def item_blocks(items: DataFrame, item_id: str, passage: str, block_words: int =
 def leaked(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", share: float = SHARE, block_words: int = ITEM_WORDS) -> DataFrame:
     """(doc_id, item_id, share): documents that reproduce at least ``share`` of the words of an item's passage in running stretches.
 
-    Defined cases: null or blank texts and passages - no result; a passage of fewer than WINDOW words - must occur in full, word for
-    word; repeated documents - one row each; items with equal passages - one row each; empty tables - no rows; further columns are ignored.
+    Defined cases: null or blank texts and passages - no result; a passage of fewer than five words - must occur in full, word for word,
+    one of five to seven with one word edited at most; repeated documents - one row each; items with equal passages - one row each; empty tables - no rows; further columns are ignored.
     """
     rows = docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text")).where("text is not null")
     out = None
