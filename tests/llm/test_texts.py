@@ -262,7 +262,7 @@ def test_near_pairs_and_likeness(spark):
             w[rnd.randrange(150)] = rnd.choice(WORDS)
         texts.append(" ".join(w))
     sets = [set(residue.shingle_hashes(t.split(), residue.word_hashes()).tolist()) for t in texts]
-    nodes = spark.createDataFrame([(i, *residue.simhash(residue.shingle_hashes(t.split(), residue.word_hashes())), len(sets[i])) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, mixed bigint, shingles int")
+    nodes = spark.createDataFrame([(i, *residue.simhash(np.unique(residue.shingle_hashes(t.split(), residue.word_hashes()))), len(sets[i])) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, mixed bigint, shingles int")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     pairs = residue.near_pairs(nodes.where("rep < 30"), nodes.where("rep >= 30"))
     got = {(r["a"], r["b"]) for r in residue.alike(pairs, docs).collect()}
@@ -280,7 +280,7 @@ def test_very_long_texts_take_linear_time():
         began = time.time()
         has_slot(text)
         residue_text.read(text, residue_text.masks(), residue_text.kinds())
-        residue.simhash(residue.shingle_hashes(text.lower().split(), residue.word_hashes()))
+        residue.simhash(np.unique(residue.shingle_hashes(text.lower().split(), residue.word_hashes())))
         leak.words(text)
         assert time.time() - began < 20
     p = passage(rnd, 60)

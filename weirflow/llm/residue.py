@@ -46,7 +46,7 @@ SEEDS = (
 #: Words a segment may have beside the trusted ones.
 BESIDE = 6
 FAMILIES = ("lat", "key", "rep")
-_FIRST = frozenset(s.split(" ", 1)[0] for s in SEEDS)
+_FIRST = frozenset(s.split(" ", 1)[0] for s in SEEDS) | set(FAMILIES)
 #: A segment joins if it keeps labelled company in so many texts, and in this share of the texts that have it; company is kept where
 #: at least COMPANY of a text's other words are labelled, and the segment is no more than LONGER times as long as they are.
 SUPPORT = 2
@@ -94,53 +94,63 @@ _ORDERS = (np.arange(64), np.arange(64).reshape(8, 8).T.ravel(), np.arange(64) *
 
 
 def simhash(shingles: np.ndarray) -> tuple[int, int, int]:
-    """The majority of each bit over the distinct shingles, as a signed 64-bit number, in the orders of the cuts."""
-    bits = np.unpackbits(np.unique(shingles).view(np.uint8).reshape(-1, 8), axis=1)
-    most = bits.sum(0, dtype=np.int64) * 2 > len(bits)
+    """The majority of each bit over the shingles (distinct ones), as a signed 64-bit number, in the orders of the cuts."""
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
+    most = np.add.reduce(bits, 0, np.int32) * 2 > len(bits)
     return tuple(int(np.packbits(most[o]).view(np.int64)[0]) for o in _ORDERS)
 
 
 _SIGNED = "doc_id bigint, key string, sig bigint, turned bigint, mixed bigint, shingles int, slot boolean, words int, segs array<bigint>, ns array<int>, trusted array<bigint>"
 
 
+_HALF = 1 << 63
+
+
 def hashed(text: str) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    return xxhash.xxh64_intdigest(text) - _HALF
 
 
 def is_seed(segment: str) -> bool:
     if segment in FAMILIES:
         return True
-    return segment.split(" ", 1)[0] in _FIRST and any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
+    return any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     memo, suspect, hashes = masks(), kinds(), word_hashes()
+    of, whole = xxhash.xxh64_intdigest, xxhash.xxh128_hexdigest
     for b in batches:
         rows = []
-        texts = b.column(1)
-        for i, doc in enumerate(b.column(0).to_pylist()):
-            text = texts[i].as_py()
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text.strip():
                 continue
             segments = read(text, memo, suspect)
-            flat = [w for _, _, tokens in segments for w in tokens]
-            # a text of nothing but marks and numbers is told by its characters
-            s = np.unique(shingle_hashes(flat or [text], hashes))
+            flat: list[str] = []
             mine: dict[int, int] = {}
+            order: list[int] = []
             trusted = []
-            for t, n, _ in segments:
-                if t and n:
-                    h = hashed(t)
-                    if h not in mine and is_seed(t):
+            quoted = 0
+            for t, n, tokens in segments:
+                flat += tokens
+                if not t:
+                    quoted += n
+                    order.append(of(" ".join(tokens)) - _HALF)
+                    continue
+                h = of(t) - _HALF
+                order.append(h)
+                if n:
+                    if tokens[0] in _FIRST and h not in mine and is_seed(t):
                         trusted.append(h)
                     # a line over and over counts once, but a family's lines differ
                     mine[h] = mine.get(h, 0) + n if t in FAMILIES else n
-            key = xxhash.xxh128_hexdigest(" ".join(t or " ".join(k) for t, _, k in segments) or text)
-            rows.append((doc, key, *simhash(s), len(s), has_slot(text), sum(n for t, n, _ in segments if not t) + sum(mine.values()), list(mine), list(mine.values()), trusted))
+            # a text of nothing but marks is told by its characters
+            s = np.unique(shingle_hashes(flat or [text], hashes))
+            key = whole(np.array(order, np.int64).tobytes() if order else text)
+            rows.append((doc, key, *simhash(s), len(s), has_slot(text), quoted + sum(mine.values()), list(mine), list(mine.values()), trusted))
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         cols = list(zip(*rows)) or [[]] * 11
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in _SIGNED.split(", ")])

@@ -40,6 +40,8 @@ _MEMO = 500_000
 
 
 def _mask(token: str) -> str:
+    if token.isalpha():
+        return token
     if _PLAIN.match(token):
         return token.replace("’", "'")
     first = token[0]
