@@ -13,6 +13,7 @@ from ..errors import ERROR, FlowError, error, no_error
 from ..functions.coerce import truthy
 from ..functions.scalars import hash_slot
 from ..session import col
+from .skew import join_to_unique
 from .stream import Op
 
 
@@ -170,6 +171,7 @@ def worker_pool(fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, workers
 def compute_once(df: DataFrame, keys: Sequence[str], op: Op) -> DataFrame:
     """Work shared by equal keys: computed once per distinct key, then joined back to every row (null keys match null keys)."""
     results = op(df.select(*keys).distinct())
-    named = results.select(*[col(k).alias(f"__{k}") for k in keys], *[c for c in results.columns if c not in keys])
-    cond = functools.reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return df.join(named, cond, "left").drop(*[f"__{k}" for k in keys])
+    # as one value, nulls equal nulls; rows of a hot key are salted
+    whole = lambda name: F.struct(*[col(k) for k in keys]).alias(name)
+    named = results.select(whole("__result_of"), *[c for c in results.columns if c not in keys])
+    return join_to_unique(df.withColumn("__work", whole("__work")), named, "__work", "__result_of").drop("__work", "__result_of")

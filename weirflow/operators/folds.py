@@ -37,7 +37,8 @@ def scan(df: DataFrame, o: Order, inputs: dict[str, Column], m: Machine) -> Data
     names = df.columns
     keyed = df.withColumns({f"__in{i}": c for i, c in enumerate(inputs.values())})
     keys = [col(k) for k in o.keys]
-    placed = keyed.repartition(*keys) if keys else keyed.coalesce(1)
+    # one stream is one task by meaning; what comes before it still runs in many
+    placed = keyed.repartition(*keys) if keys else keyed.repartition(1)
     placed = placed.sortWithinPartitions(*keys, *[col(c) for c in o.by])
     out = StructType.fromDDL(outputs)
     n, nk = len(inputs), [names.index(k) for k in o.keys]
@@ -219,6 +220,21 @@ def idempotency(ttl: int, t: Column, key: Column, payload: Column, failed: Colum
     return lambda df: scan(df, o, {"t": t, "k": key, "p": payload, "f": failed}, idempotency_machine(ttl))
 
 
+def reduce_in_order(initial, step: Callable, kind: str, o: Order, item: Column, name: str = "result") -> Op:
+    """A strict left fold of each stream, ``step(result, item)``, in a scan with constant memory: (keys..., name). Without keys an
+    empty stream gives ``initial``."""
+
+    def one(s: dict, x) -> tuple:
+        s["r"] = step(s["r"], x)
+        return (s["r"],)
+
+    def op(df: DataFrame) -> DataFrame:
+        run = scan(df, o, {"x": item}, Machine(f"__r {kind}", one, lambda: {"r": initial}))
+        return run.groupBy(*[col(k) for k in o.keys]).agg(F.coalesce(F.max_by("__r", o.struct()), F.lit(initial).cast(kind)).alias(name))
+
+    return op
+
+
 def state_machine(allowed: dict[str, set[str]], initial: str | None, to: Column, o: Order) -> Op:
     """Each wanted transition with ``verdict`` and the ``state`` after it: a transition that is not allowed is a conflict and changes
     nothing; staying is allowed; so is anything from no state yet (``initial`` None takes the first state as it is)."""

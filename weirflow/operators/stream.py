@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ERROR, FlowError, error, no_error, ok, positive, stop_at_first
-from ..order import Order, ordinal
-from ..session import col
+from ..order import HOT_ROWS, Order, ordinal
+from ..session import col, cut
 
 Op = Callable[[DataFrame], DataFrame]
 
@@ -78,7 +78,7 @@ def _items(o: Order, item: Column) -> Column:
     return F.transform(F.array_sort(F.collect_list(o.struct(item.alias("_x")))), lambda s: s["_x"])
 
 
-def batch(size: int, o: Order, item: Column, hot_rows: int | None = None) -> Op:
+def batch(size: int, o: Order, item: Column, hot_rows: int | None = HOT_ROWS) -> Op:
     """Chunks of ``size`` consecutive rows of each stream: (keys..., batch, items); the last may be shorter. A chunk is a group
     of its own, so no task holds a whole stream; ``hot_rows`` (see ``ordinal``) spreads the numbering of hot keys, too."""
     positive("size", size)
@@ -90,14 +90,14 @@ def batch(size: int, o: Order, item: Column, hot_rows: int | None = None) -> Op:
     return op
 
 
-def window(size: int, step: int, o: Order, item: Column, hot_rows: int | None = None) -> Op:
+def window(size: int, step: int, o: Order, item: Column, hot_rows: int | None = HOT_ROWS) -> Op:
     """Count windows of ``size`` rows every ``step`` rows: (keys..., window, items). Full windows, then one shorter window if
     anything is left in the buffer at the end - the overlap kept from the last full window counts as left. ``step`` > ``size`` skips rows."""
     positive("size", size)
     positive("step", step)
 
     def op(df: DataFrame) -> DataFrame:
-        rows = ordinal(stop_at_first(df, o, keep_error=False), o, hot_rows=hot_rows)
+        rows = cut(ordinal(stop_at_first(df, o, keep_error=False), o, hot_rows=hot_rows))
         keys = [col(k) for k in o.keys]
         total = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")) if o.keys else None
         first = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("_i") - size + 1) / step))

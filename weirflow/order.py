@@ -36,12 +36,17 @@ def order(*by: str, keys: Sequence[str] = ()) -> Order:
     return Order(tuple(by), tuple(keys))
 
 
-def ordinal(df: DataFrame, o: Order, name: str = "_i", hot_rows: int | None = None) -> DataFrame:
+#: Rows of a key from which on it is numbered over many tasks.
+HOT_ROWS = 1_000_000
+
+
+def ordinal(df: DataFrame, o: Order, name: str = "_i", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``df`` with each row's place (from 0) in its stream. A frame that already has it, from an earlier operator of the same
     order, is returned as it is: each ordinal costs a sort.
 
-    Streams by key take one window, in which a key is sorted by one task. With ``hot_rows``, keys of more rows than that are
-    found first (an aggregate over the keys alone) and numbered over many tasks. The one stream of an order without keys always is.
+    Streams by key take one window, in which a key is sorted by one task. Keys of more than ``hot_rows`` rows are found first (an
+    aggregate over the keys alone) and numbered over many tasks; ``None``: none is looked for. The one stream of an order without
+    keys always is.
     """
     if name in df.columns:
         return df

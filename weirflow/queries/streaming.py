@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.values import micros
 from ..operators import folds
-from ..streaming.processors import counted_stream, distinct_stream, fold_stream
-from ..streaming.runs import drained, read_files
+from ..streaming.processors import counted_stream, debounce_stream, distinct_stream, fold_stream
+from ..streaming.runs import drained, in_files, read_files
 from . import flows, streams
 from .streams import HOUR
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
 
 
+PARTS = 3
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_files(spark, f"{sf_dir}/events.parquet")
+    """The events in files by time, one a micro-batch: state is carried from batch to batch."""
+    return read_files(spark, in_files(spark.read.parquet(f"{sf_dir}/events.parquet"), ORDER, PARTS), 1)
 
 
 def _t():
@@ -54,13 +58,21 @@ def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(distinct_stream(_events(spark, sf_dir), ["user_id", "event_type"], within=False)).select("user_id", "event_type")
 
 
+def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Debounced events of each user that a newer one follows. (A user's last event waits until event time has passed it.)"""
+    e = _events(spark, sf_dir).select("user_id", "event_id", F.timestamp_micros(_t()).alias("at")).withWatermark("at", "1 day")
+    out = drained(debounce_stream(e, KEYS, ["at", "event_id"], 12 * HOUR // 1000))
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return out.join(last, ["user_id", "event_id"], "left_anti").select("user_id", "event_id")
+
+
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("at", F.timestamp_micros(_t()))
     out = drained(counted_stream(e, "at", "1 day", "1 day", "event_type"), "complete")
     return out.select(F.unix_micros(F.col("window.start")).alias("start_us"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (stream_throttle, stream_batch_by_time, stream_breaker, stream_token_bucket, stream_idempotency, stream_distinct, stream_window_counts)}
+QUERIES = {f.__name__: f for f in (stream_throttle, stream_batch_by_time, stream_breaker, stream_token_bucket, stream_idempotency, stream_distinct, stream_debounce, stream_window_counts)}
 
 SQL = {
     "stream_throttle": streams.SQL["throttle_evt"],
@@ -68,6 +80,7 @@ SQL = {
     "stream_breaker": flows.SQL["breaker_fold"],
     "stream_token_bucket": flows.SQL["token_bucket_fold"],
     "stream_idempotency": flows.SQL["idempotency_ttl"],
+    "stream_debounce": f"select user_id, event_id from (select user_id, event_id, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) - epoch_us(ts) as gap from events) where gap >= {12 * HOUR}",
     "stream_distinct": "select distinct user_id, event_type from events",
     "stream_window_counts": "select epoch_us(date_trunc('day', ts)) as start_us, event_type, count(*) as n from events group by 1, 2",
 }

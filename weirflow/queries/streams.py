@@ -102,7 +102,7 @@ def reduce_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reduce_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold that depends on the order: a running hash of each user's ids."""
-    f = stream.reduce_(F.lit(7).cast("bigint"), lambda acc, x: (acc * 31 + x) % 1_000_003, BY_USER, F.col("event_id"))
+    f = folds.reduce_in_order(7, lambda acc, x: (acc * 31 + x) % 1_000_003, "bigint", BY_USER, F.col("event_id"))
     return f(events(spark, sf_dir))
 
 

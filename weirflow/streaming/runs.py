@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -18,6 +20,16 @@ def read_files(spark: SparkSession, path: str, files_per_trigger: int = 1000) ->
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]" if one else path)
 
 
+def in_files(df: DataFrame, by: Sequence[str], parts: int) -> str:
+    """``df`` as files of consecutive ranges of ``by`` in the shared folder, written one after the other as a source would write them."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/weirflow-files/{uuid.uuid4().hex}"
+    ranged = df.repartitionByRange(parts, *by)
+    placed = cut(ranged.withColumn("__p", F.spark_partition_id()))
+    for i in range(parts):
+        placed.where(F.col("__p") == i).drop("__p").coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     """The stream's result. ``append`` goes to a file sink; other modes replace the whole result with each batch's."""
     spark = df.sparkSession
