@@ -8,7 +8,7 @@ interval their state is as new, so each stretch between such gaps is a stream of
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -198,6 +198,22 @@ def cache_replay(ttl: int, t: Column, succeeded: Column, o: Order) -> Op:
     return lambda df: scan(df, o, {"t": t, "ok": succeeded}, Machine("cache string", step))
 
 
+def layered_cache(ttls: Sequence[int], t: Column, succeeded: Column, o: Order) -> Op:
+    """Each lookup of a key in layers, the fastest first, with ``layer``: the first that has an unexpired value (from 0), or null for a
+    miss. A hit fills the faster layers again; a miss that succeeds writes to all. ``ttls``: how long each layer keeps a value."""
+    if not ttls or min(ttls) <= 0:
+        raise ValueError("each layer needs a positive time to live")
+
+    def step(s: dict, x: int, good: bool) -> tuple:
+        until = s.setdefault("until", [None] * len(ttls))
+        hit = next((i for i, u in enumerate(until) if u is not None and x < u), None)
+        for i in range(len(ttls) if hit is None and good else hit or 0):
+            until[i] = x + ttls[i]
+        return (hit,)
+
+    return lambda df: scan(df, o, {"t": t, "ok": succeeded}, Machine("layer int", step))
+
+
 def idempotency_machine(ttl: int) -> Machine:
     """Each call with ``idempotency``: ``passthrough`` (no key), ``executed``, ``replayed`` (same payload within ``ttl`` of the
     stored result), ``conflict`` (another payload). A failed execution frees the key. Streams are keys (``o.keys``)."""

@@ -83,6 +83,75 @@ def first_done(*fns: Callable[[], Any], substantive: Callable[[Exception], bool]
     raise next((e for e in errors if substantive(e)), errors[0])
 
 
+class Breaker:
+    """Opens after ``threshold`` failures in a row, lets one attempt through ``reset_s`` later and closes when that succeeds."""
+
+    def __init__(self, threshold: int, reset_s: float, clock: Callable[[], float] = time.monotonic):
+        if threshold < 1 or reset_s <= 0:
+            raise FlowError("Validation", "a breaker needs a positive threshold and reset time")
+        self._threshold, self._reset, self._clock = threshold, reset_s, clock
+        self._mutex, self._failures, self._opened, self._probing = threading.Lock(), 0, None, False
+
+    def call(self, fn: Callable[[], Any]) -> Any:
+        with self._mutex:
+            if self._opened is not None:
+                if self._probing or self._clock() - self._opened < self._reset:
+                    raise FlowError("Unavailable", "the circuit is open")
+                self._probing = True
+        try:
+            out = fn()
+        except Exception as e:
+            with self._mutex:
+                counted = getattr(e, "kind", "") in TRANSIENT
+                self._failures = self._failures + 1 if counted else self._failures
+                if counted and (self._probing or self._failures >= self._threshold):
+                    self._opened = self._clock()
+                elif self._probing and getattr(e, "kind", "") != "Canceled":
+                    self._opened, self._failures = None, 0
+                self._probing = False
+            raise
+        with self._mutex:
+            self._failures, self._opened, self._probing = 0, None, False
+        return out
+
+
+@dataclass
+class Resilience:
+    """Policies in one fixed order, whatever the order they are named in: concurrency, breaker, retries, a deadline per attempt."""
+
+    retries: int = 0
+    timeout_s: float = 0
+    max_concurrent: int = 0
+    breaker: Breaker | None = None
+    adaptive: Breaker | None = None
+    wait_s: Callable[[int], float] = lambda n: min(5.0, 0.2 * 2 ** (n - 1)) * random.uniform(0.7, 1.3)
+    when: Callable[[Exception], bool] | None = None
+    sleep: Callable[[float], None] = time.sleep
+
+    def __post_init__(self) -> None:
+        for name in ("retries", "timeout_s", "max_concurrent"):
+            if getattr(self, name) < 0:
+                raise FlowError("Validation", f"{name} must not be negative")
+        if self.breaker is not None and self.adaptive is not None:
+            raise FlowError("Validation", "a breaker and an adaptive breaker exclude each other")
+        self._slots = threading.BoundedSemaphore(self.max_concurrent) if self.max_concurrent else None
+
+    def call(self, fn: Callable[[], Any], spark: SparkSession | None = None) -> Any:
+        """``fn`` under the policies; a deadline needs ``spark``, whose jobs it cancels."""
+        if self.timeout_s and spark is None:
+            raise FlowError("Validation", "a deadline needs the session")
+        attempt = (lambda: deadline(spark, self.timeout_s, fn)) if self.timeout_s else fn
+        tried = lambda: retry(attempt, self.retries, self.wait_s, self.when, self.sleep)
+        guard = self.breaker or self.adaptive
+        if self._slots is not None and not self._slots.acquire(blocking=False):
+            raise FlowError("RateLimited", "too many calls at once")
+        try:
+            return guard.call(tried) if guard else tried()
+        finally:
+            if self._slots is not None:
+                self._slots.release()
+
+
 def in_parallel(fns: list[Callable[[], Any]], workers: int = 16) -> list[tuple[Any, Exception | None]]:
     """(result, error) of each, in their order."""
 

@@ -113,6 +113,11 @@ def cache_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.cache_replay(12 * HOUR, _t(), F.col("event_id") % 4 != 0, BY_USER)(events(spark, sf_dir)).select("event_id", "cache")
 
 
+def cache_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fast layer of six hours before a slow one of two days, by user."""
+    return folds.layered_cache([6 * HOUR, 48 * HOUR], _t(), F.col("event_id") % 4 != 0, BY_USER)(events(spark, sf_dir)).select("event_id", "layer")
+
+
 def breaker_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.element_at(F.array(*map(F.lit, ("success", "timeout", "permanent", "timeout", "canceled"))), (F.col("event_id") % 5 + 1).cast("int"))
     return folds.circuit_breaker(2, 12 * HOUR, _t(), outcome, BY_USER)(events(spark, sf_dir)).select("event_id", "decision", "state", "failures")
@@ -273,7 +278,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pipe_with, chain_3, branch_type, switch_default, branch_frames, ternary_truthy, parallel_3, parallel_named, first_success, catch_recover, loop_until, round_robin_route, fan_out_ordered, race_winner, dedup_join_back,
-        idempotency_class, idempotency_ttl, cache_hit_miss, breaker_fold, token_bucket_fold, concurrency_fold, state_machine_valid, state_machine_strict, saga_outcome, fenced_writes, retry_log, timer_wheel_due, resume_outcomes,
+        idempotency_class, idempotency_ttl, cache_hit_miss, cache_layers, breaker_fold, token_bucket_fold, concurrency_fold, state_machine_valid, state_machine_strict, saga_outcome, fenced_writes, retry_log, timer_wheel_due, resume_outcomes,
         metrics_count, prometheus_text, jsonl_redacted, topic_cursor_read, calls_in_flight, validate_rows, dag_layers, dag_deep, dag_fanin_join, dag_dynamic, dag_mermaid, worker_pool_errors, log_lines,
     )
 }
@@ -332,6 +337,11 @@ select request_id, first(kind order by d, kind) filter (where kind = 'success')
     "cache_hit_miss": fold_sql(
         f"'miss' as cache, case when e.event_id % 4 <> 0 then e.t + {12 * HOUR} else 0 end as until", f"case when e.t < r.until then 'hit' else 'miss' end, case when e.t >= r.until and e.event_id % 4 <> 0 then e.t + {12 * HOUR} else r.until end", "select event_id, cache from r"
     ),
+    "cache_layers": fold_sql(
+        f"cast(null as integer) as layer, case when e.event_id % 4 <> 0 then e.t + {6 * HOUR} else 0 end as fast, case when e.event_id % 4 <> 0 then e.t + {48 * HOUR} else 0 end as slow",
+        f"case when e.t < r.fast then 0 when e.t < r.slow then 1 end, case when e.t < r.fast then r.fast when e.t < r.slow or e.event_id % 4 <> 0 then e.t + {6 * HOUR} else r.fast end, case when e.t < r.fast or e.t < r.slow then r.slow when e.event_id % 4 <> 0 then e.t + {48 * HOUR} else r.slow end",
+        "select event_id, layer from r",
+    ),
     "breaker_fold": _breaker(12 * HOUR),
     "token_bucket_fold": fold_sql(
         f"true as allowed, cast(2000000 as bigint) as tokens, {_TT} as seen",
