@@ -263,6 +263,8 @@ def test_near_pairs_and_likeness(spark):
         texts.append(" ".join(w))
     sets = [set(residue.shingle_hashes(t.split(), residue.word_hashes()).tolist()) for t in texts]
     nodes = spark.createDataFrame([(i, *residue.simhash(np.unique(residue.shingle_hashes(t.split(), residue.word_hashes()))), len(sets[i])) for i, t in enumerate(texts)], "rep bigint, sig bigint, turned bigint, mixed bigint, shingles int")
+    distinct = [np.unique(residue.shingle_hashes(t.split(), residue.word_hashes())) for t in texts]
+    assert residue.simhashes(distinct) == [residue.simhash(x) for x in distinct] and residue.simhashes([]) == []
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     pairs = residue.near_pairs(nodes.where("rep < 30"), nodes.where("rep >= 30"))
     got = {(r["a"], r["b"]) for r in residue.alike(pairs, docs).collect()}

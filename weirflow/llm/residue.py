@@ -34,7 +34,7 @@ from weirflow.operators.skew import join_to_unique
 from weirflow.session import col, cut
 
 from .residue_rules import has_slot
-from .residue_text import HEADING, NUMBER, Memo, kinds, masks, read
+from .residue_text import END, HEADING, NUMBER, Memo, kinds, masks, read
 
 #: Beginnings of segments that are trusted to be residue, masked (``0``: a number, ``js``: any word for scripts); fixed values.
 SEEDS = (
@@ -100,6 +100,16 @@ def simhash(shingles: np.ndarray) -> tuple[int, int, int]:
     return tuple(int(np.packbits(most[o]).view(np.int64)[0]) for o in _ORDERS)
 
 
+def simhashes(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """``simhash`` of many texts at once."""
+    if not sets:
+        return []
+    size = np.array([len(x) for x in sets])
+    bits = np.unpackbits(np.concatenate(sets).view(np.uint8).reshape(-1, 8), axis=1)
+    most = np.add.reduceat(bits, np.append(0, np.cumsum(size)[:-1]), 0, np.int32) * 2 > size[:, None]
+    return list(zip(*(np.ascontiguousarray(np.packbits(most[:, o], axis=1)).view(np.int64)[:, 0].tolist() for o in _ORDERS)))
+
+
 _SIGNED = "doc_id bigint, key string, sig bigint, turned bigint, mixed bigint, shingles int, slot boolean, words int, segs array<bigint>, ns array<int>, trusted array<bigint>"
 
 
@@ -124,10 +134,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo, suspect, hashes = masks(), kinds(), word_hashes()
     of, whole = xxhash.xxh64_intdigest, xxhash.xxh128_hexdigest
     for b in batches:
-        rows = []
+        rows, sets, signs = [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text.strip():
                 continue
+            if len(sets) >= 256 or (sets and len(sets[-1]) > 100_000):
+                signs += simhashes(sets)
+                sets = []
             segments = read(text, memo, suspect)
             flat: list[str] = []
             mine: dict[int, int] = {}
@@ -150,7 +163,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a text of nothing but marks is told by its characters
             s = np.unique(shingle_hashes(flat or [text], hashes))
             key = whole(np.array(order, np.int64).tobytes() if order else text)
-            rows.append((doc, key, *simhash(s), len(s), has_slot(text), quoted + sum(mine.values()), list(mine), list(mine.values()), trusted))
+            sets.append(s)
+            rows.append((doc, key, len(s), has_slot(text), quoted + sum(mine.values()), list(mine), list(mine.values()), trusted))
+        signs += simhashes(sets)
+        rows = [(r[0], r[1], *g, *r[2:]) for r, g in zip(rows, signs)]
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         cols = list(zip(*rows)) or [[]] * 11
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in _SIGNED.split(", ")])
@@ -237,7 +253,7 @@ class Cover:
         #: Whether a word as it stands in a text may be one of the dictionary's.
         words = {w for s in self.whole for w in s} | {NUMBER} | SCRIPTS
         mask = masks()
-        self.known = Memo(lambda w: mask[w.strip(PUNCTUATION) or "0"] in words)
+        self.known = Memo(lambda w: all(t in words or t == END for t in mask[w.strip(PUNCTUATION)]))
 
     def may(self, text: str) -> bool:
         """Cheap test that refuses no text that the dictionary covers but for a few words."""

@@ -32,7 +32,7 @@ _TAG = re.compile(r"</?[a-z!][^<>]{0,500}>|&lt;[^&\n]{1,100}&gt;")
 HEADING = re.compile(r"^[ \t]*#[^\n]*", re.M)
 _BLOCK_QUOTE = re.compile(r"^[ \t]*>", re.M)
 _SCRIPT = re.compile(r"(?<!\w)(?:java ?scripts?|js|(?:client-side |browser )?(?:scripts?|scripting))(?!\w)")
-_TOKEN = re.compile(r"\w+(?:['’./@:_-]+\w+)*|[.!?:;](?=\s|\Z)|\n| - |[\"“”`]")
+_TOKEN = re.compile(r"\w+(?:['’./@:_-]+\w+)*|[.!?:;]\Z|[\"“”`]")
 _HEX = re.compile(r"[0-9a-f]{6,}\Z")
 _PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*\Z")
 END, QUOTE, NUMBER, NAME = "\n", '"', "0", "§"
@@ -47,11 +47,16 @@ def _mask(token: str) -> str:
     first = token[0]
     if first in '"“”`':
         return QUOTE
-    if len(token) == 1 and not token.isalnum() or token == " - ":
+    if len(token) == 1 and not token.isalnum():
         return END
     return NUMBER if _HEX.match(token) or not any(c.isalpha() for c in token) else NAME
 
 
+def _tokens(word: str) -> tuple[str, ...]:
+    """Masked tokens of what stands between two blanks."""
+    return (END,) if word == "-" else tuple(map(_mask, _TOKEN.findall(word)))
+
+
 class Memo(dict):
     """A function of words, remembered; forgotten when there are too many."""
 
@@ -67,7 +72,7 @@ class Memo(dict):
 
 
 def masks() -> Memo:
-    return Memo(_mask)
+    return Memo(_tokens)
 
 
 def masked(text: str, memo: Memo) -> list[list[str]]:
@@ -81,8 +86,11 @@ def masked(text: str, memo: Memo) -> list[list[str]]:
         low = _BLOCK_QUOTE.sub('"', low)
     if "script" in low or "js" in low:
         low = _SCRIPT.sub("js", low)
-    tokens = [memo[t] for t in _TOKEN.findall(low)]
-    tokens.append(END)
+    tokens: list[str] = []
+    for line in low.splitlines():
+        for word in line.split():
+            tokens += memo[word]
+        tokens.append(END)
     out: list[list[str]] = []
     begin, last = 0, len(tokens)
     while begin < last:
