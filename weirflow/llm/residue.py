@@ -44,7 +44,7 @@ SEEDS = (
     "página no encontrada", "acceso denegado", "por favor active js", "este es un texto de relleno",
 )
 #: Words a segment may have beside the trusted ones.
-BESIDE = 6
+BESIDE = 14
 FAMILIES = ("lat", "key", "rep")
 _FIRST = frozenset(s.split(" ", 1)[0] for s in SEEDS) | set(FAMILIES)
 #: A segment joins if it keeps labelled company in so many texts, and in this share of the texts that have it; company is kept where
@@ -110,7 +110,7 @@ def simhashes(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
     return list(zip(*(np.ascontiguousarray(np.packbits(most[:, o], axis=1)).view(np.int64)[:, 0].tolist() for o in _ORDERS)))
 
 
-_SIGNED = "doc_id bigint, key string, sig bigint, turned bigint, mixed bigint, shingles int, slot boolean, words int, segs array<bigint>, ns array<int>, trusted array<bigint>"
+_SIGNED = "doc_id bigint, key string, sig bigint, turned bigint, mixed bigint, shingles int, slot boolean, same bigint, words int, segs array<bigint>, ns array<int>, trusted array<bigint>"
 
 
 _HALF = 1 << 63
@@ -164,11 +164,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = np.unique(shingle_hashes(flat or [text], hashes))
             key = whole(np.array(order, np.int64).tobytes() if order else text)
             sets.append(s)
-            rows.append((doc, key, len(s), has_slot(text), quoted + sum(mine.values()), list(mine), list(mine.values()), trusted))
+            rows.append((doc, key, len(s), has_slot(text), of(" ".join(text.lower().split())) - _HALF, quoted + sum(mine.values()), list(mine), list(mine.values()), trusted))
         signs += simhashes(sets)
         rows = [(r[0], r[1], *g, *r[2:]) for r, g in zip(rows, signs)]
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        cols = list(zip(*rows)) or [[]] * 11
+        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        cols = list(zip(*rows)) or [[]] * 12
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in _SIGNED.split(", ")])
 
 
@@ -413,5 +413,9 @@ def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     nodes = cut(nodes.join(bodies, "key", "left"))
     near, _ = reached(nodes.where("reason is null").drop("reason"), nodes.where("reason is not null").drop("reason"), rows)
     reasons = bodies if near is None else bodies.unionByName(near.select("key", F.lit("near").alias("reason")))
-    body = join_to_unique(all_.where("not slot").select("doc_id", "key"), reasons.select(F.col("key").alias("of"), "reason"), "key", "of").where("of is not null").select("doc_id", "reason")
-    return all_.where("slot").select("doc_id", F.lit("slot").alias("reason")).unionByName(body)
+    # the label of a slot stays with texts of the same words in other lines
+    slots = cut(all_.where("slot").select("same").distinct())
+    slots = small(slots, slots.count())
+    body = all_.join(slots, "same", "left_anti").select("doc_id", "key")
+    body = join_to_unique(body, reasons.select(F.col("key").alias("of"), "reason"), "key", "of").where("of is not null").select("doc_id", "reason")
+    return all_.join(slots, "same", "left_semi").select("doc_id", F.lit("slot").alias("reason")).unionByName(body)

@@ -47,8 +47,12 @@ SLOT = re.compile(
     )
     + ")"
 )
-#: Cheap test that a text may hold a slot at all.
-_MAY = re.compile(r"[{}%«\[]|__|\*\*\*|XXXX|\?\?\?|<|&lt;|\$\(|@@|undefined| (?i:here)\)")
+_HERE = r"[^\[\]<>(){}*\n]{0,40}\b(?i:here)\b"
+#: Cheap test that refuses only texts without a slot.
+_MAY = re.compile(
+    r"\{\{|[$#]\{|\$\(|<%|\{(?i:" + FIELDS + r")\}|%[!(A-Za-z_]|«|\[(?:\[|\s*[^\W\d_]|" + _HERE + r")|__|\*\*\*|XXXX|\?\?\?|<(?:[^\W\d_]|" + _HERE + r")|&lt;|@@|undefined"
+    r"|\([A-Za-z][^()\n]{0,44}(?i:here)\)"
+)
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M | re.S)
 _SHOWN = re.compile(r"`[^`\n]*`|\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|^[ \t]*>[^\n]*", re.M)
 _DISCUSSED = re.compile(r"(?i)\b(?:such as|leftovers?|placeholders?|templates?|linter|renderer|is undefined (?:in|for|by|when|behaviou?r)|undefined behaviou?r)\b")
