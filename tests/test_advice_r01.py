@@ -3,8 +3,6 @@
 import datetime as dt
 
 import __spark_entry__ as entry
-from weirflow.llm import residue
-from weirflow.llm.residue_rules import has_residue_body, has_slot
 from weirflow.operators import observe
 from weirflow.order import order
 
@@ -102,43 +100,3 @@ def test_error_class_count_takes_kinds_in_any_spelling(spark, tmp_path):
     kinds = ["timeout", "Timeout", " RETRY\t", "Canceled ", "ERROR", "success", " ", None]
     rows = [(i, T0, None, None, k, "a", None) for i, k in enumerate(kinds)]
     assert run(spark, tmp_path, "error_class_count", rows) == [("neither", 2), ("permanent", 3), ("transient", 3)]
-
-
-def test_p9_copies_of_labelled_texts_in_other_lines(spark):
-    """A document without a label of its own has that of a text of the same words."""
-    notice = "Please enable JavaScript to view the app that shows how settlement batches move between regional ledgers"
-    slot = "Hello [insert name here], your report\nfor the templates is attached to this message."
-    wrapped, flat = notice.replace("the app that", "the app\nthat"), slot.replace("\n", " ")
-    assert has_residue_body(notice) and not has_residue_body(wrapped) and has_slot(slot) and not has_slot(flat)
-    df = spark.createDataFrame([(1, notice), (2, wrapped), (3, slot), (4, flat), (5, "The run of the night ended without a fault.")], "doc_id bigint, text string")
-    assert sorted(tuple(r) for r in residue.residue(df).collect()) == [(1, "body"), (2, "body"), (3, "slot"), (4, "slot")]
-
-
-def test_p9_size_counts_distinct_shingles(spark):
-    """A text that repeats itself and its shorter form: likeness 1."""
-    short = "one two three four five " * 3
-    df = spark.createDataFrame([(1, short), (2, short * 5)], "doc_id bigint, text string")
-    nodes = residue.signed(df).withColumnRenamed("doc_id", "rep")
-    pairs = residue.near_pairs(nodes.where("rep = 1"), nodes.where("rep = 2"))
-    assert [tuple(r) for r in pairs.collect()] == [(1, 2, 0)]
-    assert [tuple(r) for r in residue.alike(pairs, df).collect()] == [(1, 2)]
-
-
-def test_p9_pre_tests_refuse_nothing_the_rules_find():
-    assert has_residue_body("Pipelines | Alerts | Billing | Team\n\n404 Not Found")
-    assert has_residue_body("Please enable JavaScript to see how settlement batches move between regional ledgers after midnight")
-    assert has_slot("(YOUR NAME HERE)") and has_slot("signed (your name here)")
-    assert not has_residue_body("Pipelines | Alerts | Billing | Team") and not has_residue_body("The run of the night ended without a fault.")
-
-
-def test_p9_every_phrase_passes_the_pre_test():
-    """Each alternative of the rules, written out without its optional parts, is a body by itself."""
-    said = [
-        "turn js on", "this app needs scripting", "you need js to go on", "to see it, allow scripts", "js is required", "it does not work without js", "bitte aktivieren sie javascript", "sin javascript, no va",
-        "fehler 500", "502 bad gateway", "seite nicht gefunden", "página no encontrada", "page introuvable", "interner serverfehler", "erreur interne du serveur", "error interno del servidor", "gateway timeout", "accès refusé",
-        "vous n’avez pas le droit", "no tiene permiso", "oops", "une erreur inattendue", "please try again later", "wait 5 seconds and try again", "trop de requêtes", "the site is closed", "we’re down for an hour", "wartungsarbeiten",
-        "votre session a expiré", "login required", "connexion requise", "inicio de sesión requerido", "this page does not exist", "la page demandée", "we couldn’t connect", "the gateway received no answer", "no such file", "sorry, we can't find it",
-        "checking your browser before you go on", "content to follow", "your copy here", "coming soon", "dummy copy", "more filler", "this is sample text", "write something here", "example title", "fülltext", "platzhaltertext",
-        "bitte diesen absatz ersetzen", "hier steht später mehr", "paragraphe d’exemple", "votre contenu ici", "este es un texto de relleno", "sustituya este párrafo", "aquí va su texto", "veniam nostrud",
-    ]
-    assert [s for s in said if not has_residue_body(s)] == []
