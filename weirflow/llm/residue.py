@@ -2,7 +2,8 @@
 
 1. One pass reads every document as masked segments (``residue_text``), whose hashes, with a key and a 64-bit SimHash of the masked
    word five-shingles, go on; equal masked texts are one node.
-2. Trusted labels are few: segments that begin with one of SEEDS, and the families of mock Latin, mashed keys and repeated words.
+2. Trusted labels: segments that begin with one of SEEDS or with a notice or filler by what it is about (``residue_notices``), and the
+   families of mock Latin, mashed keys and repeated words.
 3. Labels spread over the graph of documents and the segments they share, until a round adds none: a segment joins that stands in
    the company of labelled ones in at least two different texts and in a quarter of all texts that have it. So the notices of a
    site lead to each other and to its menus and footers, and no list of them is needed.
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from weirflow.operators.skew import join_to_unique
 from weirflow.session import col, cut
 
+from .residue_notices import is_notice
 from .residue_rules import has_slot
 from .residue_text import END, HEADING, NUMBER, Memo, kinds, masks, read
 
@@ -46,7 +48,6 @@ SEEDS = (
 #: Words a segment may have beside the trusted ones.
 BESIDE = 14
 FAMILIES = ("lat", "key", "rep")
-_FIRST = frozenset(s.split(" ", 1)[0] for s in SEEDS) | set(FAMILIES)
 #: A segment joins if it keeps labelled company in so many texts, and in this share of the texts that have it; company is kept where
 #: at least COMPANY of a text's other words are labelled, and the segment is no more than LONGER times as long as they are.
 SUPPORT = 2
@@ -123,15 +124,15 @@ def hashed(text: str) -> int:
 
 
 def is_seed(segment: str) -> bool:
-    if segment in FAMILIES:
+    if segment in FAMILIES or is_notice(segment.split(" "), segment):
         return True
-    return any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
+    return segment.startswith(SEEDS) and any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    memo, suspect, hashes = masks(), kinds(), word_hashes()
+    memo, suspect, hashes, seeds = masks(), kinds(), word_hashes(), Memo(is_seed)
     of, whole = xxhash.xxh64_intdigest, xxhash.xxh128_hexdigest
     for b in batches:
         rows, sets, signs = [], [], []
@@ -156,7 +157,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = of(t) - _HALF
                 order.append(h)
                 if n:
-                    if tokens[0] in _FIRST and h not in mine and is_seed(t):
+                    if h not in mine and seeds[t]:
                         trusted.append(h)
                     # a line over and over counts once, but a family's lines differ
                     mine[h] = mine.get(h, 0) + n if t in FAMILIES else n
