@@ -146,19 +146,39 @@ def race(candidates: DataFrame, keys: Sequence[str], value: str, latency: str, s
 def worker_pool(fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, workers: int | None = None, keep: Sequence[str] = ()) -> Op:
     """Any Python function over Arrow batches, in as many tasks as wanted. An item that fails becomes one row with the error and its
     ``keep`` columns; the others of its batch are not affected. ``schema`` must hold ``_error string``. The order of results is
-    unspecified. ``fn`` may see an item twice: in its batch, and by itself if the batch failed."""
+    unspecified. A batch that fails is halved until the failing items stand alone, so ``fn`` may see an item several times."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                yield fn(b).assign(_error=None)
-            except Exception:  # noqa: BLE001
-                for i in range(len(b)):
-                    one = b.iloc[i : i + 1]
-                    try:
-                        yield fn(one).assign(_error=None)
-                    except Exception as e:  # noqa: BLE001
-                        yield one[list(keep)].assign(_error=f"{type(e).__name__}: {e}")
+            done: dict[tuple, list[pd.DataFrame]] = {}
+            failed, errors = [], []
+            parts = [(0, len(b))]
+            half = whole = -1
+            bad = 0  # the end of a part that must fail, as its whole did and the half before it did not
+            while parts:
+                begin, end = parts.pop()
+                if end == bad and end - begin > 1:
+                    half, whole = (begin + end) // 2, end
+                    parts += [(half, end), (begin, half)]
+                    bad = 0
+                    continue
+                try:
+                    out = fn(b.iloc[begin:end])
+                    # results of one shape are given on together; others are not, as that would change their types
+                    done.setdefault(tuple(out.dtypes.items()), []).append(out)
+                    if end == half:
+                        bad = whole
+                except Exception as e:  # noqa: BLE001
+                    if end - begin > 1:
+                        half, whole = (begin + end) // 2, end
+                        parts += [(half, end), (begin, half)]
+                    elif end > begin:
+                        failed.append(begin)
+                        errors.append(f"{type(e).__name__}: {e}")
+            for same in done.values():
+                yield (same[0] if len(same) == 1 else pd.concat(same, ignore_index=True)).assign(_error=None)
+            if failed:
+                yield b.iloc[failed][list(keep)].assign(_error=errors)
 
     def op(df: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in schema.split(",")]
