@@ -3,9 +3,12 @@ same rows in the same order both give the same results."""
 
 from __future__ import annotations
 
+import base64
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,28 +60,32 @@ class DebounceProcessor(StatefulProcessor):
         self.pending = handle.getValueState("pending", "row string, at bigint")
 
     def _row(self, text: str) -> pd.DataFrame:
-        d = pd.read_json(pd.io.common.StringIO(text), orient="records", convert_dates=False, dtype=False)
-        return d.assign(**{self.order[0]: pd.to_datetime(d[self.order[0]], unit="us")})[self.columns]
+        return pd.DataFrame([pickle.loads(base64.b64decode(text))], columns=self.columns)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
-        times = (batch[self.order[0]].astype("datetime64[us]").astype("int64")).tolist()
-        texts = [batch.iloc[[i]].assign(**{self.order[0]: times[i]}).to_json(orient="records") for i in range(len(batch))]
-        last = self.pending.get() if self.pending.exists() else None
-        for t, text in zip(times, texts):
-            if last is not None:
-                self.handle.deleteTimer(last[1] // 1000 + self.interval_ms)
-                if t - last[1] >= self.interval_ms * 1000:
-                    yield self._row(last[0])
-            last = (text, t)
-        self.pending.update(last)
-        self.handle.registerTimer(last[1] // 1000 + self.interval_ms)
+        frames = list(rows)
+        batch = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        if len(batch) > 1:
+            batch = batch.sort_values(self.order, kind="stable", ignore_index=True)
+        times = batch[self.order[0]].astype("datetime64[us]").astype("int64").to_numpy()
+        last = self.pending.get()
+        if last is not None:
+            self.handle.deleteTimer(last[1] // 1000 + self.interval_ms)
+            if times[0] - last[1] >= self.interval_ms * 1000:
+                yield self._row(last[0])
+        quiet = np.flatnonzero(np.diff(times) >= self.interval_ms * 1000)
+        if len(quiet):
+            yield batch.iloc[quiet][self.columns]
+        at = int(times[-1])
+        # the one row that is kept, its values as they are
+        self.pending.update((base64.b64encode(pickle.dumps([batch[c].iloc[-1] for c in self.columns])).decode(), at))
+        self.handle.registerTimer(at // 1000 + self.interval_ms)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.pending.exists():
-            row = self._row(self.pending.get()[0])
+        last = self.pending.get()
+        if last is not None:
             self.pending.clear()
-            yield row
+            yield self._row(last[0])
 
     def close(self) -> None:
         pass
