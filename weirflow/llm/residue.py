@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from weirflow.operators.skew import join_to_unique
 from weirflow.session import col, cut
 
-from .residue_notices import is_notice
+from .residue_notices import LONGEST, is_notice, may_be_notices
 from .residue_rules import has_slot
-from .residue_text import END, HEADING, NUMBER, Memo, kinds, masks, read
+from .residue_text import END, HEADING, NUMBER, QUOTE, Memo, family_of, kinds, masked, masks, read, size, tokens_of
 
 #: Beginnings of segments that are trusted to be residue, masked (``0``: a number, ``js``: any word for scripts); fixed values.
 SEEDS = (
@@ -66,29 +66,51 @@ BLOCKS = 8
 BROADCAST_IDS = 1_000_000
 #: Words of labelled segments that are looked for in one pass over the texts; more take more passes.
 DICTIONARY_WORDS = 2_000_000
+#: Segments that are remembered, and looked at together for notices.
+SEGMENTS = 200_000
+#: Words after which the signatures of the texts so far are made.
+GROUP = 30_000
 #: Candidates of a node that are compared first, the nearest in Hamming distance; the others only if none of these is a link.
 NEAREST = 16
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def word_hashes() -> Memo:
+    """Hashes of words; that of None, which fills up short texts, is 0."""
     import xxhash
 
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(lambda w: 0 if w is None else xxhash.xxh64_intdigest(w))
 
 
-def shingle_hashes(words: list[str], memo: Memo) -> np.ndarray:
+def shingle_hashes(words: list[str | None], memo: Memo) -> np.ndarray:
     """64-bit hashes of the shingles of five words; a shorter text is one shingle."""
-    hashes = np.zeros(max(len(words), SHINGLE), np.uint64)
-    hashes[: len(words)] = np.array([memo[w] for w in words], np.uint64)
+    if len(words) < SHINGLE:
+        words = [*words, *[None] * (SHINGLE - len(words))]
+    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    hashes ^= hashes >> np.uint64(31)
     n = len(hashes) - SHINGLE + 1
     out = np.zeros(n, np.uint64)
     for j in range(SHINGLE):
-        out += (hashes[j : j + n] ^ (hashes[j : j + n] >> np.uint64(31))) * _MULTIPLIERS[j]
+        out += hashes[j : j + n] * _MULTIPLIERS[j]
         out ^= out >> np.uint64(29)
     return out * _MULTIPLIERS[0]
 
 
+def shingle_sets(words: list[str | None], lengths: list[int], memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``shingle_hashes`` of many texts at once, one text after the other, and how many each has. ``words``: those of all
+    texts, of each at least as many as a shingle has; ``lengths``: how many of them each text has."""
+    shingles = shingle_hashes(words, memo)
+    end = np.cumsum(lengths)
+    begin = end - lengths
+    for a, b in zip(begin.tolist(), (end - SHINGLE + 1).tolist()):
+        shingles[a:b].sort()
+    keep = np.append(True, shingles[1:] != shingles[:-1])
+    keep[begin] = True
+    # what spans two texts is no shingle
+    keep[(end[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    return shingles[keep], np.add.reduceat(keep, begin, dtype=np.int64)
+
+
 #: The signature's bits as they stand, with those side by side that are eight apart, and in the order of 29 times their place.
 CUTS = ("sig", "turned", "mixed")
 _ORDERS = (np.arange(64), np.arange(64).reshape(8, 8).T.ravel(), np.arange(64) * 29 % 64)
@@ -105,12 +127,26 @@ def simhashes(sets: list[np.ndarray]) -> list[tuple[int, int, int]]:
     """``simhash`` of many texts at once."""
     if not sets:
         return []
-    size = np.array([len(x) for x in sets])
-    bits = np.unpackbits(np.concatenate(sets).view(np.uint8).reshape(-1, 8), axis=1)
-    most = np.add.reduceat(bits, np.append(0, np.cumsum(size)[:-1]), 0, np.int32) * 2 > size[:, None]
+    return _majorities(np.concatenate(sets), np.array([len(x) for x in sets]))
+
+
+def _majorities(shingles: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1)
+    # eight bits are counted in one number, a byte each, so up to 255 shingles at a time
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(np.cumsum(sizes) - sizes, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    counts = np.add.reduceat(bits.view(np.uint64), at, 0).view(np.uint8)
+    most = np.add.reduceat(counts, first, 0, np.int32) * 2 > sizes[:, None]
     return list(zip(*(np.ascontiguousarray(np.packbits(most[:, o], axis=1)).view(np.int64)[:, 0].tolist() for o in _ORDERS)))
 
 
+def _signatures(words: list[str | None], lengths: list[int], memo: Memo) -> list[tuple[int, int, int, int]]:
+    """``simhash`` and the number of distinct shingles of each text."""
+    shingles, sizes = shingle_sets(words, lengths, memo)
+    return [(*signs, n) for signs, n in zip(_majorities(shingles, sizes), sizes.tolist())]
+
+
 _SIGNED = "doc_id bigint, key string, sig bigint, turned bigint, mixed bigint, shingles int, slot boolean, same bigint, words int, segs array<bigint>, ns array<int>, trusted array<bigint>"
 
 
@@ -129,45 +165,65 @@ def is_seed(segment: str) -> bool:
     return segment.startswith(SEEDS) and any(segment == s or (segment.startswith(s + " ") and segment.count(" ") - s.count(" ") <= BESIDE) for s in SEEDS)
 
 
+def seeds(segments: list[str]) -> list[str]:
+    """Those of the segments that are trusted."""
+    return [s for s, may in zip(segments, may_be_notices(segments)) if (may or s.startswith(SEEDS) or s in FAMILIES) and is_seed(s)]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    memo, suspect, hashes, seeds = masks(), kinds(), word_hashes(), Memo(is_seed)
+    memo, suspect, hashes = masks(), kinds(), word_hashes()
     of, whole = xxhash.xxh64_intdigest, xxhash.xxh128_hexdigest
+    # segments not looked at yet that are short enough for a notice (and so for SEEDS with BESIDE), and the hashes of trusted ones
+    fresh: list[str] = []
+    trusted: set[int] = set()
+
+    def segment(s: str) -> tuple[str, int, int, bool, bool]:
+        f = family_of(s, suspect)
+        t, quoted = f or s, not f and QUOTE in s
+        if not quoted and t.count(" ") < LONGEST:
+            fresh.append(t)
+        return t, size(s), of(t) - _HALF, quoted, t in FAMILIES
+
+    def look() -> None:
+        trusted.update([of(t) - _HALF for t in seeds(fresh)])
+        fresh.clear()
+
+    segments = Memo(segment, SEGMENTS)
     for b in batches:
-        rows, sets, signs = [], [], []
+        rows, signs, words, lengths = [], [], [], []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if not text.strip():
                 continue
-            if len(sets) >= 256 or (sets and len(sets[-1]) > 100_000):
-                signs += simhashes(sets)
-                sets = []
-            segments = read(text, memo, suspect)
-            flat: list[str] = []
+            if len(words) > GROUP:
+                signs += _signatures(words, lengths, hashes)
+                words, lengths = [], []
+            if len(fresh) > SEGMENTS:
+                look()
             mine: dict[int, int] = {}
+            shown: list[str] = []
             order: list[int] = []
-            trusted = []
-            quoted = 0
-            for t, n, tokens in segments:
-                flat += tokens
-                if not t:
-                    quoted += n
-                    order.append(of(" ".join(tokens)) - _HALF)
-                    continue
-                h = of(t) - _HALF
+            others = 0
+            for t, n, h, quoted, of_family in map(segments.__getitem__, masked(text, memo)):
+                shown.append(t)
                 order.append(h)
-                if n:
-                    if h not in mine and seeds[t]:
-                        trusted.append(h)
+                if quoted:
+                    others += n
+                elif n:
                     # a line over and over counts once, but a family's lines differ
-                    mine[h] = mine.get(h, 0) + n if t in FAMILIES else n
+                    mine[h] = mine.get(h, 0) + n if of_family else n
             # a text of nothing but marks is told by its characters
-            s = np.unique(shingle_hashes(flat or [text], hashes))
+            flat = " ".join(shown).split(" ") if shown else [text]
+            flat += [None] * (SHINGLE - len(flat))
+            words += flat
+            lengths.append(len(flat))
             key = whole(np.array(order, np.int64).tobytes() if order else text)
-            sets.append(s)
-            rows.append((doc, key, len(s), has_slot(text), of(" ".join(text.lower().split())) - _HALF, quoted + sum(mine.values()), list(mine), list(mine.values()), trusted))
-        signs += simhashes(sets)
-        rows = [(r[0], r[1], *g, *r[2:]) for r, g in zip(rows, signs)]
+            rows.append((doc, key, has_slot(text), of(" ".join(text.lower().split())) - _HALF, others + sum(mine.values()), list(mine), list(mine.values())))
+        if lengths:
+            signs += _signatures(words, lengths, hashes)
+        look()
+        rows = [(*r[:2], *g, *r[2:], [] if trusted.isdisjoint(r[5]) else [h for h in r[5] if h in trusted]) for r, g in zip(rows, signs)]
         types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
         cols = list(zip(*rows)) or [[]] * 12
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [x.split()[0] for x in _SIGNED.split(", ")])
@@ -253,15 +309,14 @@ class Cover:
         self.lengths = {k: sorted(set(v), reverse=True) for k, v in self.lengths.items()}
         #: Whether a word as it stands in a text may be one of the dictionary's.
         words = {w for s in self.whole for w in s} | {NUMBER} | SCRIPTS
-        mask = masks()
-        self.known = Memo(lambda w: all(t in words or t == END for t in mask[w.strip(PUNCTUATION)]))
+        self.known = Memo(lambda w: all(t in words or t == END for t in tokens_of(w.strip(PUNCTUATION))))
 
     def may(self, text: str) -> bool:
         """Cheap test that refuses no text that the dictionary covers but for a few words."""
         if "<" in text or "&lt;" in text:
             return True
         raw = (HEADING.sub("", text) if "#" in text else text).lower().split()
-        free = len(raw) - sum([self.known[w] for w in raw])
+        free = len(raw) - sum(map(self.known.__getitem__, raw))
         return free <= max(2 * FREE, FREE_SHARE * len(raw))
 
     def positions(self, tokens: list[str]) -> list[int]:

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _JS = r"(?:js|cookies?)"
 _W = r"(?:\S+ )"
 _THING = r"(?:page|site|website|file|document|url|address|resource|content|item|article|record|view|link|image|video|entry|screen|section)"
@@ -123,6 +126,16 @@ def _by_beginning() -> dict[str, tuple[re.Pattern, ...]]:
 _BY_BEGINNING = _by_beginning()
 
 
+#: All notices as one pattern for Arrow's matcher, which reads many segments in one linear pass. It knows ASCII only, so word ends are left
+#: out and letters taken for anything but blanks: it refuses nothing that begins with a notice.
+_ANY = "^(?:" + "|".join(f"(?:{n.replace(r'\b', '').replace(r'\w', r'\S')})" for n in NOTICES) + ")"
+
+
+def may_be_notices(segments: list[str]) -> list[bool]:
+    """For each segment, whether it may begin with a notice: a test of many at once that refuses none that does."""
+    return pc.match_substring_regex(pa.array(segments, pa.large_string()), _ANY).to_pylist()
+
+
 def is_notice(tokens: list[str], segment: str) -> bool:
     """Whether a segment begins with a notice."""
     if len(tokens) > LONGEST:

@@ -52,7 +52,7 @@ def _mask(token: str) -> str:
     return NUMBER if _HEX.match(token) or not any(c.isalpha() for c in token) else NAME
 
 
-def _tokens(word: str) -> tuple[str, ...]:
+def tokens_of(word: str) -> tuple[str, ...]:
     """Masked tokens of what stands between two blanks."""
     return (END,) if word == "-" else tuple(map(_mask, _TOKEN.findall(word)))
 
@@ -60,23 +60,25 @@ def _tokens(word: str) -> tuple[str, ...]:
 class Memo(dict):
     """A function of words, remembered; forgotten when there are too many."""
 
-    def __init__(self, of):
+    def __init__(self, of, most: int = _MEMO):
         super().__init__()
-        self.of = of
+        self.of, self.most = of, most
 
     def __missing__(self, word):
-        if len(self) > _MEMO:
+        if len(self) > self.most:
             self.clear()
         out = self[word] = self.of(word)
         return out
 
 
 def masks() -> Memo:
-    return Memo(_tokens)
+    """The masked tokens of what stands between two blanks, with blanks between them."""
+    return Memo(lambda word: " ".join(tokens_of(word)))
 
 
-def masked(text: str, memo: Memo) -> list[list[str]]:
-    """Segments of masked tokens. Headings are left out; a quote character stays as a token, also where a line is quoted."""
+def masked(text: str, memo: Memo) -> list[str]:
+    """Segments: masked tokens with a blank between them. Headings are left out; a quote character stays as a token, also where a line
+    is quoted."""
     low = text.lower()
     if "<" in low or "&lt;" in low:
         low = _TAG.sub("\n", low)
@@ -86,19 +88,9 @@ def masked(text: str, memo: Memo) -> list[list[str]]:
         low = _BLOCK_QUOTE.sub('"', low)
     if "script" in low or "js" in low:
         low = _SCRIPT.sub("js", low)
-    tokens: list[str] = []
-    for line in low.splitlines():
-        for word in line.split():
-            tokens += memo[word]
-        tokens.append(END)
-    out: list[list[str]] = []
-    begin, last = 0, len(tokens)
-    while begin < last:
-        end = tokens.index(END, begin)
-        if end > begin:
-            out.append(tokens[begin:end])
-        begin = end + 1
-    return out
+    # a dash between blanks ends a segment, as a line's end does
+    words = " - ".join(low.splitlines()).split()
+    return [s for x in " ".join(filter(None, map(memo.__getitem__, words))).split(END) if (s := x.strip(" "))]
 
 
 def _latin(w: str) -> bool:
@@ -126,12 +118,9 @@ def family(segment: list[str]) -> str | None:
     return None
 
 
-def size(segment: list[str]) -> int:
-    """Words of a segment: masked numbers and quote characters are none."""
-    n = len(segment)
-    if NUMBER in segment:
-        n -= segment.count(NUMBER)
-    return n - segment.count(QUOTE) if QUOTE in segment else n
+def size(segment: str) -> int:
+    """Words of a segment: masked numbers and quote characters are none, and no other token holds these characters."""
+    return segment.count(" ") + 1 - segment.count(NUMBER) - segment.count(QUOTE)
 
 
 def kinds() -> Memo:
@@ -139,17 +128,20 @@ def kinds() -> Memo:
     return Memo(lambda w: _latin(w) or _mashed(w))
 
 
+def family_of(segment: str, suspect: Memo) -> str | None:
+    """``family`` after a cheap test: of a family's segments a word stands twice, or two of the first four are of the family's kind."""
+    s = segment.split(" ")
+    n = len(s)
+    if sum(map(suspect.__getitem__, s[:4])) >= min(2, n) or (n > 3 and len(set(s)) <= 0.5 * n + 1):
+        return family(s)
+    return None
+
+
 def read(text: str, memo: Memo, suspect: Memo) -> list[tuple[str, int, list[str]]]:
     """(text, words, tokens) of a text's segments; the text of one of a family is the family's name, of one with a quote empty: what
     is quoted is shown or discussed."""
     out = []
     for s in masked(text, memo):
-        n = len(s)
-        # cheap: of a family's segments a word stands twice, or two of the first four are of the family's kind
-        if sum([suspect[w] for w in s[:4]]) >= min(2, n) or (n > 3 and len(set(s)) <= 0.5 * n + 1):
-            f = family(s)
-            if f:
-                out.append((f, size(s), [f]))
-                continue
-        out.append(("" if QUOTE in s else " ".join(s), size(s), s))
+        f = family_of(s, suspect)
+        out.append((f, size(s), [f]) if f else ("" if QUOTE in s else s, size(s), s.split(" ")))
     return out
